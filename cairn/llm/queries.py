@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import licenses, lines, packing, shards, urls
+from cairn.llm import licenses, lines, packing, shards, substrings, urls
 from cairn.llm.common import table
 
 
@@ -23,11 +23,15 @@ def op7_url_filters(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_minimax_shards, op6_best_fit_packing, op7_url_filters, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_minimax_shards, op6_best_fit_packing, op7_url_filters, op9_substring_dedup, op10_license_scan)}
 ORACLES = {
     "op1_line_dedup": lines.dedup_sql(),
     "op7_url_filters": urls.judge_sql(),
