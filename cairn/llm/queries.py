@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import licenses, lines, packing, shards, substrings, urls
+from cairn.llm import decontam, licenses, lines, packing, shards, substrings, urls
 from cairn.llm.common import table
 
 
@@ -11,6 +11,10 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minimax_shards(spark, sf_dir):
     return shards.minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_minimax_shards, op6_best_fit_packing, op7_url_filters, op9_substring_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_minimax_shards, op6_best_fit_packing, op7_url_filters, op9_substring_dedup, op10_license_scan)}
 ORACLES = {
     "op1_line_dedup": lines.dedup_sql(),
     "op7_url_filters": urls.judge_sql(),
