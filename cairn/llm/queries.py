@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontam, licenses, lines, packing, shards, substrings, urls
+from cairn.llm import decontam, licenses, lines, packing, quality, shards, substrings, urls
 from cairn.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_minimax_shards(spark, sf_dir):
     return shards.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_minimax_shards, op6_best_fit_packing, op7_url_filters, op9_substring_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_minimax_shards, op5_quality_classifier, op6_best_fit_packing, op7_url_filters, op9_substring_dedup, op10_license_scan)}
 ORACLES = {
     "op1_line_dedup": lines.dedup_sql(),
     "op7_url_filters": urls.judge_sql(),
