@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontam, licenses, lines, packing, quality, shards, substrings, urls
+from cairn.llm import decontam, jaccard, licenses, lines, packing, quality, shards, substrings, topk, urls
 from cairn.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_decontamination(spark, sf_dir):
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
 def op4_minimax_shards(spark, sf_dir):
     return shards.minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,11 @@ def op7_url_filters(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard_join(spark, sf_dir):
+    found = jaccard.similar_components(table(spark, sf_dir, "documents"), k=4, num=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -39,9 +49,24 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_minimax_shards, op5_quality_classifier, op6_best_fit_packing, op7_url_filters, op9_substring_dedup, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_decontamination,
+        op3_exact_top_k,
+        op4_minimax_shards,
+        op5_quality_classifier,
+        op6_best_fit_packing,
+        op7_url_filters,
+        op8_ngram_jaccard_join,
+        op9_substring_dedup,
+        op10_license_scan,
+    )
+}
 ORACLES = {
     "op1_line_dedup": lines.dedup_sql(),
+    "op3_exact_top_k": topk.top_k_sql(),
     "op7_url_filters": urls.judge_sql(),
     "op10_license_scan": licenses.scan_sql(),
 }
