@@ -55,6 +55,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """id, h and more columns. Rows equal in doc_id and text share id and h.
+
+    id is the doc_id, 0 where that is null; h is a hash of the text whose lowest bit says whether doc_id is null. So
+    neither is ever null, which keeps them whole numbers inside Python tasks and lets joins use plain equality.
+    """
+    h = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.isnull("doc_id").cast("long"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), h.alias("h"), *more)
+
+
+def real_id(prefix: str = "") -> Column:
+    return F.when(F.col(f"{prefix}h").bitwiseAND(F.lit(1)) == 0, F.col(f"{prefix}id"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node of each node's component. nodes(id), edges(a, b) -> (id, root).
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
-from cairn.llm.common import Scratch, components, cut
+from cairn.llm.common import Scratch, components, cut, keyed, real_id
 
 #: Share of a set's least hashes looked at beyond what any partner may lack.
 SLACK = 0.12
@@ -101,7 +101,8 @@ def divide_skip(sets: list[np.ndarray], first: int, num: int, den: int, across:
 
 
 def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
-    """doc_id, h, n_shingles, component_id: components of texts whose shingle sets have den * I >= num * U.
+    """doc_id, n_shingles, component_id, id and h of `keyed`, and root, one for each
+    component: components of texts whose shingle sets have den * I >= num * U.
 
     Exact, by 64-bit hashes of shingles:
     1. Equal sets are one set from here on, so copies cost nothing further.
@@ -120,7 +121,7 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> Dat
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = keyed(docs, F.coalesce("text", F.lit("")).alias("text"))
     share = 1 - num / den + SLACK
 
     def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,14 +130,13 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> Dat
                 rows = [(len(x), set_id(x), x[: math.ceil(share * len(x))].view(np.int64)) for x in shingle_sets(raw, k)]
                 out = pd.DataFrame(rows, columns=["n", "sid", "shown"])
                 at = pdf.iloc[first : first + len(raw)]
-                yield out.assign(doc_id=at["doc_id"].array, h=at["h"].array)[["doc_id", "h", "n", "sid", "shown"]]
+                yield out.assign(id=at["id"].array, h=at["h"].array)[["id", "h", "n", "sid", "shown"]]
 
-    members = scratch.write(docs.mapInPandas(shown, "doc_id long, h long, n long, sid long, shown array<long>"))
-    # struct order puts null ids first, so whether an id is null leads
-    rep = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("rep")
+    members = scratch.write(docs.mapInPandas(shown, "id long, h long, n long, sid long, shown array<long>"))
+    rep = F.min(F.struct(F.col("h").bitwiseAND(F.lit(1)).alias("none"), "id", "h")).alias("rep")
     sets = scratch.write(
         members.filter("n > 0").groupBy("sid").agg(rep, F.first("n").alias("n"), F.first("shown").alias("shown"))
-        .select("sid", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), "shown")
+        .select("sid", "n", "rep.id", "rep.h", "shown")
     )
     hashes = sets.select("sid", "n", F.explode("shown").alias("t"))
     frequent = cut(hashes.groupBy("t").count().filter("count > 1"))
@@ -156,8 +156,8 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> Dat
     groups = cut(
         groups.join(blocks, "root").select(F.col("id").alias("sid"), "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     )
-    picked = groups.join(sets.select("sid", F.col("doc_id").alias("p_id"), F.col("h").alias("p_h")), "sid")
-    texts = docs.join(picked, docs["doc_id"].eqNullSafe(F.col("p_id")) & (docs["h"] == F.col("p_h"))).select("sid", "root", "blocks", "block", "text")
+    picked = groups.join(sets.select("sid", "id", "h"), "sid")
+    texts = docs.join(picked, ["id", "h"]).select("sid", "root", "blocks", "block", "text")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -181,13 +181,16 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> Dat
     links = cut(pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long"))
     linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     roots = components(linked, links)
-    least = sets.select("sid", "doc_id").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    least = sets.select("sid", real_id().alias("doc_id")).join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = cut(least)
     ids = cut(least.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = cut(least.join(ids, "root").select("sid", "component_id"))
+    named = cut(least.join(ids, "root").select("sid", "root", "component_id"))
     result = cut(
-        members.select("doc_id", "h", "n", "sid").join(named, "sid", "left")
-        .select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        members.select("id", "h", "n", "sid").join(named, "sid", "left")
+        .select(
+            real_id().alias("doc_id"), "id", "h", "root", F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(real_id()).alias("component_id"),
+        )
     )
     scratch.drop()
     return result
@@ -199,10 +202,8 @@ def keep_one_each(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFram
     Of several rows with that id the one with the least text hash stays; documents without shingles all stay.
     """
     found = similar_components(docs, k, num, den)
-    least = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")
-    stay = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(least).alias("m")).select("m.doc_id", "m.h")
-    stay = cut(stay.unionByName(found.filter("n_shingles = 0").select("doc_id", "h").distinct()))
-    stay = stay.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    kept = rows.join(stay, rows["id"].eqNullSafe(F.col("s_id")) & (rows["h"] == F.col("s_h")), "left_semi")
+    least = F.struct(F.isnull("doc_id").alias("none"), "id", "h")
+    stay = found.filter("n_shingles > 0").groupBy("root").agg(F.min(least).alias("m")).select("m.id", "m.h")
+    stay = cut(stay.unionByName(found.filter("n_shingles = 0").select("id", "h").distinct()))
+    kept = keyed(docs, F.struct(*docs.columns).alias("row")).join(stay, ["id", "h"], "left_semi")
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

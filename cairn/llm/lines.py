@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut
+from cairn.llm.common import cut, keyed
 
 #: Lines hashed together, and how many neighbouring hashes share one fingerprint. Every repeated run of
 #: K + WINDOW - 1 lines or more is found.
@@ -13,12 +13,11 @@ K, WINDOW = 1, 2
 
 
 def repeated_runs(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(doc_id, h, starts): where runs of k + window - 1 lines begin that began before, in an earlier document or
-    earlier in the same one. h is the hash of the text: rows that agree in id and text are one document."""
+    """(id, h, starts), keyed as `keyed` does: where runs of k + window - 1 lines begin that began before, in an earlier document or
+    earlier in the same one. Rows that agree in doc_id and text are one document."""
     run = k + window - 1
     lines = (
-        docs.filter(F.col("text").isNotNull())
-        .select("doc_id", F.xxhash64("text").alias("h"), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("hl"))
+        keyed(docs.filter(F.col("text").isNotNull()), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("hl"))
         .filter(F.size("hl") >= run)
     )
     grams = F.transform(F.sequence(F.lit(1), F.size("hl") - k + 1), lambda i: F.xxhash64(F.slice("hl", i, k)))
@@ -33,14 +32,16 @@ def repeated_runs(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFram
             F.xxhash64(F.lit(7), F.slice("hl", i + 1, run)).alias("content"),
         ),
     )
-    windows = lines.select("doc_id", "h", F.inline(spots))
-    place = F.struct("doc_id", "h", "at")
+    windows = lines.select("id", "h", F.inline(spots))
+    # null ids, which the lowest bit of h marks, come first
+    order = (-F.col("h").bitwiseAND(F.lit(1))).alias("none"), "id", "h"
+    place = F.struct(*order, "at")
     repeated = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp")
-    near = windows.join(cut(repeated), "fp", "left_semi").select("doc_id", "h", "i", "content")
-    start = F.struct("doc_id", "h", "i")
+    near = windows.join(cut(repeated), "fp", "left_semi").select("id", "h", "i", "content")
+    start = F.struct(*order, "i")
     first = near.groupBy("content").agg(F.min(start).alias("a"), F.max(start).alias("b")).filter("a <> b").select("content", "a")
-    later = near.join(cut(first), "content").filter(~start.eqNullSafe(F.col("a")))
-    return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("i")).alias("starts"))
+    later = near.join(cut(first), "content").filter(start != F.col("a"))
+    return later.groupBy("id", "h").agg(F.array_sort(F.collect_set("i")).alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -53,14 +54,12 @@ def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
 
     Null texts stay null with 0 lines; the empty text is one empty line. Rows equal in doc_id and text are one
     document and keep or lose the same lines. An empty table gives an empty result. A document may end up empty but
-    stays. Columns named like the helpers' do not clash: joins carry a struct of the row.
+    stays. Columns of any other name pass through; own columns named n_lines or n_removed are replaced.
     """
     run = k + window - 1
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    gone = repeated_runs(docs.select("doc_id", "text"), k, window).select(
-        F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "starts"
-    )
-    joined = rows.join(gone, rows["id"].eqNullSafe(F.col("g_id")) & (rows["h"] == F.col("g_h")), "left").select("row", "starts")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows = keyed(docs, F.struct(*columns).alias("row"))
+    joined = rows.join(repeated_runs(docs, k, window), ["id", "h"], "left").select("row", "starts")
     lines = F.split("row.text", "\n")
     n = F.size(lines)
     m = F.size("starts")
@@ -74,7 +73,7 @@ def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     text = F.when(F.col("starts").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     out = joined.withColumn("kept", F.when(F.col("starts").isNotNull(), kept))
     return out.select(
-        *(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns),
+        *(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns),
         F.coalesce(F.when(F.col("row.text").isNotNull(), n), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("starts").isNotNull(), n - F.size("kept")).otherwise(0).cast("long").alias("n_removed"),
     )

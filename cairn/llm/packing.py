@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import keyed, real_id
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one task packs together.
 SHARD_ROWS = 4096
@@ -55,16 +57,16 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = SHARD_ROWS, so
     packed each for itself, in different bins. Extra columns are not read; an empty table gives an empty result.
     """
     shards = max(1, -(-docs.count() // shard_rows))
-    slim = docs.select(
-        "doc_id",
+    slim = keyed(
+        docs,
         F.col("source").cast("string").alias("source"),
         F.xxhash64(F.lower(F.coalesce("text", F.lit("")))).alias("cluster"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-    ).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("long"))
-    schema = "doc_id long, source string, cluster long, n_words long, piece int, start long, length long, bin long, bin_offset int"
+    ).withColumn("shard", F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("long"))
+    schema = "id long, h long, source string, cluster long, n_words long, piece int, start long, length long, bin long, bin_offset int"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "cluster"], kind="stable", na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(["id", "h"], kind="stable").reset_index(drop=True)
         source = pd.factorize(pdf["source"].fillna("\0"))[0]
         number, _ = pd.factorize(pdf["cluster"])
         twins = pdf["cluster"].duplicated(keep=False).to_numpy()
@@ -84,6 +86,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = SHARD_ROWS, so
             elif not full:
                 out.append((i, 0, 0, 0, None, None))
         cols = pd.DataFrame(out, columns=["row", "piece", "start", "length", "bin", "bin_offset"]).astype({"bin": "Int64", "bin_offset": "Int64"})
-        return pdf.loc[cols["row"], ["doc_id", "source", "cluster", "n_words"]].reset_index(drop=True).join(cols.drop(columns="row"))
+        return pdf.loc[cols["row"], ["id", "h", "source", "cluster", "n_words"]].reset_index(drop=True).join(cols.drop(columns="row"))
 
-    return slim.groupBy("shard").applyInPandas(one, schema)
+    out = slim.groupBy("shard").applyInPandas(one, schema)
+    return out.select(real_id().alias("doc_id"), *out.columns[2:])

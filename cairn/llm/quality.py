@@ -183,4 +183,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, whose score reaches the threshold."""
     model = fit(docs, labels, sample)
-    return docs.withColumn("__score", score_column(model, docs.sparkSession)).filter(F.col("__score") >= threshold).drop("__score")
+    return docs.filter(score_column(model, docs.sparkSession) >= threshold)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
-from cairn.llm.common import Scratch, cut
+from cairn.llm.common import Scratch, cut, keyed, real_id
 
 #: Words of a window, and words of the anchor that cuts reference blocks.
 WINDOW, ANCHOR = 35, 8
@@ -73,37 +73,33 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = keyed(docs, F.coalesce("text", F.lit("")).alias("text"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first, raw in tk.slices(pdf["text"]):
                 text, a, n, g, content = blocks_of(*tk.words(raw, tk.SPACES, False), window, anchor)
                 at = pdf.iloc[first + text]
-                yield pd.DataFrame({"doc_id": at["doc_id"].array, "h": at["h"].array, "a": a, "n": n, "g": g, "content": content})
+                yield pd.DataFrame({"id": at["id"].array, "h": at["h"].array, "a": a, "n": n, "g": g, "content": content})
 
-    blocks = scratch.write(docs.mapInPandas(parse, "doc_id long, h long, a int, n int, g long, content long"))
+    blocks = scratch.write(docs.mapInPandas(parse, "id long, h long, a int, n int, g long, content long"))
     index = blocks.groupBy("g").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"))
     index = cut(index.filter("c > 1").select("g", (F.col("lo") != F.col("hi")).alias("differ")))
-    factors = blocks.join(index, "g").groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "n", "differ")).alias("f"))
-    factors = factors.select(
-        F.col("doc_id").alias("f_id"),
-        F.col("h").alias("f_h"),
-        *(F.col(f"f.{c}").alias(c) for c in ("a", "n", "differ")),
-    )
-    joined = docs.join(factors, docs["doc_id"].eqNullSafe(F.col("f_id")) & (docs["h"] == F.col("f_h")), "left")
+    factors = blocks.join(index, "g").groupBy("id", "h").agg(F.collect_list(F.struct("a", "n", "differ")).alias("f"))
+    factors = factors.select("id", "h", *(F.col(f"f.{c}").alias(c) for c in ("a", "n", "differ")))
+    joined = docs.join(factors, ["id", "h"], "left")
 
     def ranges(a, n, which) -> np.ndarray:
         a, n = np.asarray(a, dtype=np.int64)[which], np.asarray(n, dtype=np.int64)[which]
         return np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())) if len(a) else np.empty(0, np.int64)
 
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    out = "id long, h long, n_words long, n_removed long, kept_sha256 string"
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Finishes documents without open windows; gives the text and the open windows' hashes of the others."""
         for pdf in batches:
             rows = []
-            for doc, h, text, a, n, differ in zip(*(pdf[c] for c in ("doc_id", "h", "text", "a", "n", "differ")), strict=True):
+            for doc, h, text, a, n, differ in zip(*(pdf[c] for c in ("id", "h", "text", "a", "n", "differ")), strict=True):
                 raw = text.encode()
                 mask = np.zeros(0, bool) if a is None else np.asarray(differ, dtype=bool)
                 sure = ranges(a, n, ~mask) if len(mask) else np.empty(0, np.int64)
@@ -111,34 +107,34 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                 if len(unsure):
                     w, _ = tk.words([raw], tk.SPACES, False)
                     hashes = tk.Spans(w)(unsure, unsure + window).view(np.int64)
-                    rows.append((doc, None, None, None, h, text, sure, unsure, hashes))
+                    rows.append((doc, h, None, None, None, text, sure, unsure, hashes))
                 else:
-                    rows.append((doc, *_finish(raw, sure, window), h, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "h", "text", "sure", "at", "hashes"]).astype(
+                    rows.append((doc, h, *_finish(raw, sure, window), None, None, None, None))
+            yield pd.DataFrame(rows, columns=["id", "h", "n_words", "n_removed", "kept_sha256", "text", "sure", "at", "hashes"]).astype(
                 {"n_words": "Int64", "n_removed": "Int64"}
             )
 
     compared = scratch.write(
-        joined.select("doc_id", "h", "text", "a", "n", "differ").mapInPandas(
-            compare, out + ", h long, text string, sure array<int>, at array<int>, hashes array<long>"
+        joined.select("id", "h", "text", "a", "n", "differ").mapInPandas(
+            compare, out + ", text string, sure array<int>, at array<int>, hashes array<long>"
         )
     )
     unsettled = compared.filter("text IS NOT NULL")
-    spots = unsettled.select("doc_id", "h", F.explode(F.arrays_zip("at", "hashes")).alias("x")).select("doc_id", "h", "x.at", "x.hashes")
+    spots = unsettled.select("id", "h", F.explode(F.arrays_zip("at", "hashes")).alias("x")).select("id", "h", "x.at", "x.hashes")
     again = cut(spots.groupBy("hashes").count().filter("count > 1").select("hashes"))
-    found = spots.join(again, "hashes").groupBy("doc_id", "h").agg(F.collect_set("at").alias("more"))
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "more")
-    late = unsettled.join(found, unsettled["doc_id"].eqNullSafe(F.col("f_id")) & (unsettled["h"] == F.col("f_h")), "left")
+    found = spots.join(again, "hashes").groupBy("id", "h").agg(F.collect_set("at").alias("more"))
+    late = unsettled.join(found, ["id", "h"], "left")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
-                (doc, *_finish(text.encode(), np.concatenate([np.asarray(x, dtype=np.int64) for x in (sure, more) if x is not None]), window))
-                for doc, text, sure, more in zip(pdf["doc_id"], pdf["text"], pdf["sure"], pdf["more"], strict=True)
+                (doc, h, *_finish(text.encode(), np.concatenate([np.asarray(x, dtype=np.int64) for x in (sure, more) if x is not None]), window))
+                for doc, h, text, sure, more in zip(pdf["id"], pdf["h"], pdf["text"], pdf["sure"], pdf["more"], strict=True)
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pd.DataFrame(rows, columns=["id", "h", "n_words", "n_removed", "kept_sha256"])
 
-    done = compared.filter("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256")
-    result = cut(done.unionByName(late.select("doc_id", "text", "sure", "more").mapInPandas(settle, out)))
+    done = compared.filter("text IS NULL").select("id", "h", "n_words", "n_removed", "kept_sha256")
+    done = done.unionByName(late.select("id", "h", "text", "sure", "more").mapInPandas(settle, out))
+    result = cut(done.select(real_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256"))
     scratch.drop()
     return result
