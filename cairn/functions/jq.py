@@ -1,0 +1,99 @@
+"""A subset of jq predicates as Spark SQL over VARIANT: paths, comparison, and/or/not, test and length."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_TOKEN = re.compile(r'\s*(?:(\.[\w.\[\]]*)|("(?:[^"\\]|\\.)*")|(-?\d+(?:\.\d+)?)|(==|!=|<=|>=|<|>|\||\(|\))|(\w+))')
+
+
+def predicate(expression: str, json: str) -> Column:
+    """True only where the expression gives true on the row's JSON text; errors and nulls are false."""
+    tokens, at = [], 0
+    while at < len(expression.rstrip()):
+        m = _TOKEN.match(expression, at)
+        if not m:
+            raise ValueError(f"cannot read {expression[at:]!r}")
+        tokens.append(m[0].strip())
+        at = m.end()
+    doc, pos = F.try_parse_json(json), 0
+
+    def peek() -> str:
+        return tokens[pos] if pos < len(tokens) else ""
+
+    def take(want: str | None = None) -> str:
+        nonlocal pos
+        if want is not None and peek() != want:
+            raise ValueError(f"expected {want!r} at {peek()!r}")
+        pos += 1
+        return tokens[pos - 1]
+
+    def either() -> Column:
+        out = both()
+        while peek() == "or":
+            take()
+            out = F.coalesce(out, F.lit(False)) | F.coalesce(both(), F.lit(False))
+        return out
+
+    def both() -> Column:
+        out = compared()
+        while peek() == "and":
+            take()
+            out = F.coalesce(out, F.lit(False)) & F.coalesce(compared(), F.lit(False))
+        return out
+
+    def compared() -> Column:
+        if peek() == "(":
+            take()
+            out = either()
+            take(")")
+            return piped_bool(out)
+        path = take()
+        if not path.startswith("."):
+            raise ValueError(f"expected a path at {path!r}")
+        length = False
+        while peek() == "|":
+            take()
+            word = take()
+            if word == "length":
+                length = True
+            elif word == "not":
+                return ~F.coalesce(F.try_variant_get(doc, "$" + path.rstrip("."), "boolean"), F.lit(False))
+            elif word == "test":
+                take("(")
+                pattern = take()[1:-1].replace('\\"', '"').replace("\\\\", "\\")
+                take(")")
+                return F.try_variant_get(doc, "$" + path, "string").rlike(pattern)
+            else:
+                raise ValueError(f"unknown function {word!r}")
+        get = lambda kind: F.try_variant_get(doc, "$" + path.rstrip("."), kind)
+        if peek() not in ("==", "!=", "<", "<=", ">", ">="):
+            return get("boolean")
+        op, value = take(), take()
+        if length:
+            text, items = get("string"), get("array<variant>")
+            left, right = F.coalesce(F.size(items), F.length(text)).cast("double"), F.lit(float(value))
+        elif value.startswith('"'):
+            left, right = get("string"), F.lit(value[1:-1].replace('\\"', '"'))
+        elif value in ("true", "false"):
+            left, right = get("boolean"), F.lit(value == "true")
+        elif value == "null":
+            return get("string").isNull() if op == "==" else get("string").isNotNull()
+        else:
+            left, right = get("double"), F.lit(float(value))
+        return {"==": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
+
+    def piped_bool(out: Column) -> Column:
+        while peek() == "|":
+            take()
+            take("not")
+            out = ~F.coalesce(out, F.lit(False))
+        return out
+
+    out = either()
+    if pos < len(tokens):
+        raise ValueError(f"cannot read {peek()!r}")
+    return F.coalesce(out, F.lit(False))
