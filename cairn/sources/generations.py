@@ -1,0 +1,106 @@
+"""Published generations: immutable directories of Parquet and small manifests, written last."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Layers above a full generation before they are folded into a new one.
+LAYERS = 8
+
+
+class Moved(RuntimeError):
+    """Someone else published meanwhile."""
+
+
+class Generations:
+    """A table as a chain of generations. Readers pin one number and see exactly that; a writer publishes by renaming a
+    manifest into place, which fails if the number exists. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def numbers(self) -> list[int]:
+        at = self._path("manifests")
+        if not self.fs.exists(at):
+            return []
+        return sorted(int(f.getPath().getName().removesuffix(".json")) for f in self.fs.listStatus(at) if f.getPath().getName().endswith(".json"))
+
+    def manifest(self, n: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{n}.json").first()[0])
+
+    def latest(self) -> int | None:
+        return max(self.numbers(), default=None)
+
+    def _write(self, df: DataFrame, n: int, manifest: dict) -> int:
+        df.write.mode("overwrite").parquet(f"{self.root}/gen={n}")
+        draft, final = self._path(f"manifests/.{n}.draft"), self._path(f"manifests/{n}.json")
+        out = self.fs.create(draft, True)
+        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.close()
+        if self.fs.exists(final) or not self.fs.rename(draft, final):
+            raise Moved(f"generation {n} exists")
+        return n
+
+    def publish(self, df: DataFrame, watermark: int = 0) -> int:
+        """A full generation."""
+        n = (self.latest() or 0) + 1
+        return self._write(df, n, {"layers": [n], "watermark": watermark})
+
+    def publish_layer(self, df: DataFrame, key: list[str], watermark: int = 0) -> int:
+        """Changed rows on top of the latest generation; `deleted` marks a row as gone. Folds after LAYERS layers."""
+        last = self.latest()
+        if last is None:
+            return self.publish(df.filter("NOT deleted").drop("deleted"), watermark)
+        old = self.manifest(last)
+        n = last + 1
+        if len(old["layers"]) > LAYERS:
+            return self._write(self._merge(self.read(last), df, key), n, {"layers": [n], "watermark": watermark})
+        return self._write(df, n, {"layers": [*old["layers"], n], "watermark": watermark, "key": key})
+
+    def _merge(self, base: DataFrame, layer: DataFrame, key: list[str]) -> DataFrame:
+        kept = base.join(layer.select(*key), key, "left_anti")
+        return kept.unionByName(layer.filter("NOT deleted").drop("deleted"))
+
+    def read(self, n: int | None = None) -> DataFrame:
+        n = self.latest() if n is None else n
+        if n is None:
+            raise FileNotFoundError(f"nothing is published in {self.root}")
+        m = self.manifest(n)
+        base = self.spark.read.parquet(f"{self.root}/gen={m['layers'][0]}")
+        if len(m["layers"]) == 1:
+            return base
+        parts = [base.withColumn("deleted", F.lit(False)).withColumn("_layer", F.lit(m["layers"][0]))]
+        parts += [self.spark.read.parquet(f"{self.root}/gen={k}").withColumn("_layer", F.lit(k)) for k in m["layers"][1:]]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        columns = [c for c in base.columns if c not in m["key"]]
+        top = rows.groupBy(*m["key"]).agg(F.max_by(F.struct(*columns, "deleted"), "_layer").alias("r"))
+        return top.filter("NOT r.deleted").select(*m["key"], *(F.col(f"r.{c}") for c in columns)).select(*base.columns)
+
+    def watermark(self) -> int:
+        n = self.latest()
+        return -1 if n is None else self.manifest(n)["watermark"]
+
+    def validate(self, n: int) -> None:
+        """Raises if a later generation was published since n was pinned."""
+        if self.latest() != n:
+            raise Moved(f"pinned {n}, now {self.latest()}")
+
+    def clean(self, keep: int = 2, pinned: tuple[int, ...] = ()) -> None:
+        """Removes generations that none of the last `keep`, nor a pinned one, needs."""
+        all_n = self.numbers()
+        used = {k for n in [*all_n[-keep:], *pinned] for k in self.manifest(n)["layers"]}
+        for n in all_n:
+            if n not in all_n[-keep:] and n not in pinned:
+                self.fs.delete(self._path(f"manifests/{n}.json"), False)
+            if n not in used:
+                self.fs.delete(self._path(f"gen={n}"), True)
