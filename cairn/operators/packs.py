@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from cairn.functions.numbers import ratio
 
-UNUSED_RATIO = ratio(F.col("unused_bytes"), F.col("used_bytes"))
-
-
 def unused_ratio() -> Column:
     """Unused share of accounted packs; null where usage is not accounted."""
     return F.when(F.col("used_bytes").isNotNull(), ratio(F.col("unused_bytes"), F.col("used_bytes")))
@@ -157,21 +154,15 @@ def apply_changes(stored: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
     return sums.select("kind", "key", *safe).filter("packs <> 0")
 
 
-# Orders of a pack listing; all but deadlines go down.
-ORDERS = {
-    "size": F.desc_nulls_last("physical_size"),
-    "created": F.desc_nulls_last("created_at"),
-    "unused": F.desc_nulls_last("unused_bytes"),
-    "ratio": F.desc_nulls_last("unused_ratio"),
-    "retention": F.asc_nulls_last("min_retention_until"),
-    "payload": F.desc_nulls_last("payload_size"),
-    "id": F.asc("pack_id"),
-}
+# Orders of a pack listing; all but deadlines and ids go down.
+ORDERS = {"size": "physical_size", "created": "created_at", "unused": "unused_bytes", "ratio": "unused_ratio", "payload": "payload_size", "retention": "min_retention_until", "id": "pack_id"}
 
 
 def listing(packs: DataFrame, order: str, limit: int) -> DataFrame:
     """The first packs in an order, ties by id. Counts of a filter are taken before the limit, not here."""
-    return packs.withColumn("unused_ratio", unused_ratio()).orderBy(ORDERS[order], "pack_id").limit(limit)
+    up = order in ("retention", "id")
+    key = F.asc_nulls_last(ORDERS[order]) if up else F.desc_nulls_last(ORDERS[order])
+    return packs.withColumn("unused_ratio", unused_ratio()).orderBy(key, "pack_id").limit(limit)
 
 
 def matched_and_returned(packs: DataFrame, limit: int) -> DataFrame:
