@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
@@ -100,27 +100,50 @@ def divide_skip(sets: list[np.ndarray], first: int, num: int, den: int, across:
     return links
 
 
+def candidate_groups(sets: DataFrame, need: Column) -> DataFrame:
+    """(sid, root, members): sets connected by filed hashes. sets: sid, n, hashes; linked sets share `need` hashes or more.
+
+    Of the hashes that other sets show too, rarest first, each set files all but need - 1: then linked sets have a filed
+    hash in common. Frequent passages come last in that order and are rarely filed. Sets with fewer shared hashes than
+    they need, or without a filed one in common, are left out: they link with none.
+    """
+    hashes = sets.select("sid", "n", F.explode("hashes").alias("t"))
+    frequent = cut(hashes.groupBy("t").count().filter("count > 1"))
+    shared = hashes.join(frequent, "t").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("s"))
+    filed = cut(
+        shared.filter(F.size("s") >= need)
+        .select("sid", F.explode(F.slice("s", 1, F.size("s") - need + 1)).alias("x"))
+        .select("sid", F.col("x.t").alias("t"))
+    )
+    heads = cut(filed.groupBy("t").agg(F.min("sid").alias("head"), F.max("sid").alias("other")).filter("head <> other").select("t", "head"))
+    edges = filed.join(heads, "t").filter("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b")).distinct()
+    edges = cut(edges)
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    groups = components(nodes, edges)
+    members = cut(groups.groupBy("root").agg(F.count("*").alias("members")))
+    return cut(groups.join(members, "root").select(F.col("id").alias("sid"), "root", "members"))
+
+
 def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, id and h of `keyed`, and root, one for each
+    """doc_id, n_shingles, component_id, and id and h of `keyed`, and root, one for each
     component: components of texts whose shingle sets have den * I >= num * U.
 
     Exact, by 64-bit hashes of shingles:
     1. Equal sets are one set from here on, so copies cost nothing further.
     2. Each set shows its least hashes, a share of 1 - num/den + SLACK. Two linked sets have at least
-       SLACK * num/den of their size among these in common; a set with fewer hashes that any other set shows too
-       links with none and is done.
-    3. Of the shown and shared hashes, rarest first, so many are filed that linked sets have a filed hash in common.
-       Sets connected by filed hashes form candidate groups; frequent passages come last in that order and are rarely
-       filed.
-    4. Whole sets of each candidate group are compared by T-occurrence search; groups over BLOCK sets are cut into
-       blocks, and every pair of blocks is a task. Links become components.
+       SLACK * num/den of their size among these in common. Sets that share so many, through their rarer hashes, form
+       candidate groups.
+    3. Groups of more than BLOCK sets are divided again in the same way by their whole sets, which must have num/den of
+       their hashes in common.
+    4. Whole sets of each group are compared by T-occurrence search; groups still over BLOCK sets are cut into blocks,
+       and every pair of blocks is a task. Links become components.
 
     Null and empty texts have no shingles, link with nothing and are their own component; a null doc_id counts only
     where no other id is in the component. Rows equal in doc_id and text are copies. An empty table gives an
     empty result; columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch, early = Scratch(spark), Scratch(spark)
     docs = keyed(docs, F.coalesce("text", F.lit("")).alias("text"))
     share = 1 - num / den + SLACK
 
@@ -128,53 +151,45 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> Dat
         for pdf in batches:
             for first, raw in tk.slices(pdf["text"]):
                 rows = [(len(x), set_id(x), x[: math.ceil(share * len(x))].view(np.int64)) for x in shingle_sets(raw, k)]
-                out = pd.DataFrame(rows, columns=["n", "sid", "shown"])
+                out = pd.DataFrame(rows, columns=["n", "sid", "hashes"])
                 at = pdf.iloc[first : first + len(raw)]
-                yield out.assign(id=at["id"].array, h=at["h"].array)[["id", "h", "n", "sid", "shown"]]
+                yield out.assign(id=at["id"].array, h=at["h"].array)[["id", "h", "n", "sid", "hashes"]]
 
-    members = scratch.write(docs.mapInPandas(shown, "id long, h long, n long, sid long, shown array<long>"))
+    seen = early.write(docs.mapInPandas(shown, "id long, h long, n long, sid long, hashes array<long>"))
+    members = scratch.write(seen.drop("hashes"))
     rep = F.min(F.struct(F.col("h").bitwiseAND(F.lit(1)).alias("none"), "id", "h")).alias("rep")
     sets = scratch.write(
-        members.filter("n > 0").groupBy("sid").agg(rep, F.first("n").alias("n"), F.first("shown").alias("shown"))
-        .select("sid", "n", "rep.id", "rep.h", "shown")
+        seen.filter("n > 0").groupBy("sid").agg(rep, F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+        .select("sid", "n", "rep.id", "rep.h", "hashes")
     )
-    hashes = sets.select("sid", "n", F.explode("shown").alias("t"))
-    frequent = cut(hashes.groupBy("t").count().filter("count > 1"))
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * (SLACK * num / den) - 1e-9)).cast("int")
-    shared = hashes.join(frequent, "t").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("s"))
-    filed = cut(
-        shared.filter(F.size("s") >= need)
-        .select("sid", F.explode(F.slice("s", 1, F.size("s") - need + 1)).alias("x"))
-        .select("sid", F.col("x.t").alias("t"))
-    )
-    heads = cut(filed.groupBy("t").agg(F.min("sid").alias("head"), F.max("sid").alias("other")).filter("head <> other").select("t", "head"))
-    edges = filed.join(heads, "t").filter("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b")).distinct()
-    edges = cut(edges)
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    groups = components(nodes, edges)
-    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    groups = cut(
-        groups.join(blocks, "root").select(F.col("id").alias("sid"), "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    )
-    picked = groups.join(sets.select("sid", "id", "h"), "sid")
-    texts = docs.join(picked, ["id", "h"]).select("sid", "root", "blocks", "block", "text")
+    early.drop()
+    groups = candidate_groups(sets, F.greatest(F.lit(1), F.ceil(F.col("n") * (SLACK * num / den) - 1e-9)).cast("int"))
+    picked = groups.join(sets.select("sid", "n", "id", "h"), "sid")
+    # the join leaves equal rows side by side, so dropping repeats shuffles nothing more
+    texts = docs.join(picked, ["id", "h"]).dropDuplicates(["id", "h"]).select("sid", "n", "root", "members", "text")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first, raw in tk.slices(pdf["text"]):
-                yield pdf.iloc[first : first + len(raw)][["sid", "root", "blocks", "block"]].assign(
-                    s=[x.view(np.int64) for x in shingle_sets(raw, k)]
+                yield pdf.iloc[first : first + len(raw)][["sid", "n", "root", "members"]].assign(
+                    hashes=[x.view(np.int64) for x in shingle_sets(raw, k)]
                 )
 
-    full = texts.mapInPandas(whole, "sid long, root long, blocks int, block int, s array<long>")
-    pairs = full.select("sid", "root", "block", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "sid", "root", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "s"
+    full = scratch.write(texts.mapInPandas(whole, "sid long, n long, root long, members long, hashes array<long>"))
+    few, many = full.filter(F.col("members") <= BLOCK), full.filter(F.col("members") > BLOCK)
+    if not many.isEmpty():
+        finer = candidate_groups(many.select("sid", "n", "hashes"), F.greatest(F.lit(1), F.ceil(F.col("n") * num / den)).cast("int"))
+        few = few.unionByName(many.drop("root", "members").join(finer, "sid"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    full = few.select("sid", "root", "hashes", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"))
+    pairs = full.select("sid", "root", "block", "hashes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
+        "sid", "root", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "hashes"
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("sid").sort_values(["block", "sid"])
+        pdf = pdf.sort_values(["block", "sid"])
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        found = divide_skip([np.asarray(x).view(tk.U) for x in pdf["s"]], int((pdf["block"] == i).sum()), num, den, i != j)
+        found = divide_skip([np.asarray(x).view(tk.U) for x in pdf["hashes"]], int((pdf["block"] == i).sum()), num, den, i != j)
         sid = pdf["sid"].to_numpy()
         return pd.DataFrame([(sid[a], sid[b]) for a, b in found], columns=["a", "b"], dtype="int64")
 
@@ -186,7 +201,7 @@ def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> Dat
     ids = cut(least.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     named = cut(least.join(ids, "root").select("sid", "root", "component_id"))
     result = cut(
-        members.select("id", "h", "n", "sid").join(named, "sid", "left")
+        members.join(named, "sid", "left")
         .select(
             real_id().alias("doc_id"), "id", "h", "root", F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(real_id()).alias("component_id"),
