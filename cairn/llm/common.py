@@ -69,28 +69,35 @@ def real_id(prefix: str = "") -> Column:
     return F.when(F.col(f"{prefix}h").bitwiseAND(F.lit(1)) == 0, F.col(f"{prefix}id"))
 
 
+#: Rows of a slim table (a few whole numbers) in one partition, about.
+SLIM = 250_000
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node of each node's component. nodes(id), edges(a, b) -> (id, root).
 
     Alternates two joins until nothing changes: each edge is pulled to the smaller root of its ends, then
     roots jump to their own roots. Rounds grow with the logarithm of a chain's length. A hot root is only
-    ever aggregated with min(), which Spark combines before its shuffle.
+    ever aggregated with min(), which Spark combines before its shuffle. Tables of a round are kept in as many
+    partitions as their rows need, so that small graphs don't leave many tiny files behind.
     """
-    labels = cut(nodes.select("id", F.col("id").alias("root")))
+    nodes = cut(nodes.select("id"))
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    n_nodes, n_both = nodes.count(), both.count()
+    few = lambda df: cut(df.coalesce(max(1, -(-n_nodes // SLIM))))
+    both = both.coalesce(max(1, -(-n_both // SLIM)))
+    labels = few(nodes.select("id", F.col("id").alias("root")))
     while True:
         # the smallest root among a node's neighbours, offered to the node and to its present root
         near = both.join(labels.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
         offers = near.groupBy(F.col("a").alias("id")).agg(F.min("rb").alias("offer"))
-        offered = cut(labels.join(offers, "id").filter("offer < root"))
+        offered = few(labels.join(offers, "id").filter("offer < root"))
         if offered.isEmpty():
             return labels
         better = offered.select("id", "offer").unionByName(offered.select(F.col("root").alias("id"), "offer"))
         better = better.groupBy("id").agg(F.min("offer").alias("offer"))
-        hooked = cut(
-            labels.join(better, "id", "left").select("id", F.least("root", "offer").alias("root"))
-        )
+        hooked = few(labels.join(better, "id", "left").select("id", F.least("root", "offer").alias("root")))
         jump = hooked.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        hooked = hooked.join(jump, "root").select("id", F.col("next").alias("root"))
+        hooked = few(hooked.join(jump, "root").select("id", F.col("next").alias("root")))
         jump = hooked.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        labels = cut(hooked.join(jump, "root").select("id", F.col("next").alias("root")))
+        labels = few(hooked.join(jump, "root").select("id", F.col("next").alias("root")))

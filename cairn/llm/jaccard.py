@@ -116,8 +116,8 @@ def candidate_groups(sets: DataFrame, need: Column) -> DataFrame:
         .select("sid", F.col("x.t").alias("t"))
     )
     heads = cut(filed.groupBy("t").agg(F.min("sid").alias("head"), F.max("sid").alias("other")).filter("head <> other").select("t", "head"))
-    edges = filed.join(heads, "t").filter("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b")).distinct()
-    edges = cut(edges)
+    edges = filed.join(heads, "t").filter("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
+    edges = cut(edges.distinct())
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     groups = components(nodes, edges)
     members = cut(groups.groupBy("root").agg(F.count("*").alias("members")))
