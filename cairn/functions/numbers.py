@@ -39,10 +39,21 @@ def target_size(size: Column, default: int, factor: int, limit: int) -> Column:
     return F.least(F.lit(limit), default + factor * F.floor(F.sqrt(size.cast("double"))).cast("long"))
 
 
+# The fields of a revision in the order of their bits.
+FIELDS = ("mtime", "ctime", "size", "mode", "uid", "gid", "parent", "path")
+
+
+def known_fields(*fields: Column) -> Column:
+    """Names of the fields that are known, in the order of FIELDS."""
+    return F.filter(F.array(*(F.when(c.isNotNull(), n) for n, c in zip(FIELDS, fields, strict=True))), lambda x: x.isNotNull())
+
+
 def format_bytes(size: Column) -> Column:
     out = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in ((10, "KiB"), (20, "MiB"), (30, "GiB"), (40, "TiB")):
-        out = F.when(size >= 1 << power, F.format_string(f"%.3f {unit}", size / float(1 << power))).otherwise(out)
+        # halves go to the even digit, which format_string alone would round up
+        rounded = F.bround((size / float(1 << power)).cast("decimal(38,15)"), 3)
+        out = F.when(size >= 1 << power, F.concat(rounded.cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

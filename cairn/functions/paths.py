@@ -39,6 +39,19 @@ def above(path: Column, scope: str) -> Column:
     return F.lit(scope).startswith(F.concat(F.regexp_replace(path, "/$", ""), F.lit("/"))) & (path != scope)
 
 
+def lineage(path: Column) -> Column:
+    """The path and all that lie above it, '/' first."""
+    parts = components(path)
+    own = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
+    return F.when(path.isNotNull(), own)
+
+
+def version_key(fsid: Column, path: Column, revision: Column) -> Column:
+    """Binary key whose order is that of fsid, path and revision; a path sorts right before what lies below it."""
+    whole = lambda c, digits: F.unhex(F.lpad(F.hex(c.cast("long")), digits, "0"))
+    return F.concat(whole(fsid, 8), F.encode(path, "UTF-8"), F.lit(b"\0"), whole(revision, 16))
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./]*)$", 1)
 
