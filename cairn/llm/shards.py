@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 
 from cairn.llm.common import cut
 
-#: Hex digits by which groups are summed at a time: at most 65,536 sums reach the driver for each level.
-DIGITS = 4
+#: Hex digits by which groups are summed at a time: at most 4,096 sums for each prefix that is split reach the driver.
+DIGITS = 3
 #: Blocks of each shard in which slots are counted.
 BLOCKS = 1024
 
@@ -79,7 +79,7 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     Groups of equal texts are atomic and stand in the order of their SHA-256; a shard is a run of groups. The
     smallest feasible capacity is found by binary search with a greedy check. The driver works on sums by key
-    prefix (65,536 at most) and asks for finer sums only where a cut falls inside a prefix, so the answer is exact
+    prefix (4,096 at first) and asks for finer sums only where a cut falls inside a prefix, so the answer is exact
     with bounded memory. Within that capacity cuts go where sizes are most even.
 
     Null texts count as empty ones: size 1, checksum 0, one group. Repeated rows each get a slot. An empty table
