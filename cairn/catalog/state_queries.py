@@ -11,7 +11,7 @@ from cairn.functions import numbers, paths
 from cairn.operators import objects, observed
 from cairn.registry import query
 
-O, N, B = F.col("o_orderkey"), A.with_sql(A.NODES), A.with_sql(A.BLOBS)
+N, B = A.with_sql(A.NODES), A.with_sql(A.BLOBS)
 NOW = datetime(1998, 1, 1)
 
 BIND = """
@@ -20,9 +20,9 @@ bindings AS (SELECT (o_orderkey % 2 + 1)::INTEGER AS fsid, (o_orderkey // 2)::BI
 
 
 def bindings(spark, d):
-    status = F.col("o_orderstatus")
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
     return A.table(spark, d, "orders").select(
-        (O % 2 + 1).cast("int").alias("fsid"), F.floor(O / 2).cast("long").alias("inode"), (O % 3).cast("long").alias("generation"), (F.col("o_custkey") % 5).cast("int").alias("source"),
+        (key % 2 + 1).cast("int").alias("fsid"), F.floor(key / 2).cast("long").alias("inode"), (key % 3).cast("long").alias("generation"), (F.col("o_custkey") % 5).cast("int").alias("source"),
         F.when(status == "O", "live").when(status == "F", "deleted").otherwise("unknown").alias("state"), (F.col("o_custkey") % 7).cast("long").alias("commit"), F.lit("source-generation").alias("continuity"),
     )
 
@@ -209,4 +209,4 @@ def ordered_version_keys(spark, d):
 )
 def sizes_as_text(spark, d):
     factor = F.element_at(F.array(*(F.lit(x).cast("long") for x in (1, 64, 4096, 1048577, 1073741825))), (F.col("o_custkey") % 5 + 1).cast("int"))
-    return A.table(spark, d, "orders").select((O * factor).cast("long").alias("k")).select("k", numbers.format_bytes(F.col("k")).alias("shown"))
+    return A.table(spark, d, "orders").select((F.col("o_orderkey") * factor).cast("long").alias("k")).select("k", numbers.format_bytes(F.col("k")).alias("shown"))

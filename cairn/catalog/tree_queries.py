@@ -386,9 +386,9 @@ def prune_classification(spark, d):
     return reach.classify_packs(accounts(spark, d), 100_000).select("pack_id", "waste", "plan")
 
 
-@query(A.with_sql(A.PACKS) + "SELECT (greatest(physical_size, 4096) * 0.8)::DOUBLE::BIGINT AS target FROM (SELECT physical_size, row_number() OVER (ORDER BY physical_size) AS n, count(*) OVER () AS total FROM packs) WHERE n = total * 3 // 100 + 1")
+@query(A.with_sql(A.PACKS) + "SELECT (greatest(physical_size, 4096) * 4 // 5)::BIGINT AS target FROM (SELECT physical_size, row_number() OVER (ORDER BY physical_size) AS n, count(*) OVER () AS total FROM packs) WHERE n = total * 3 // 100 + 1")
 def percentile_pack_size(spark, d):
-    return reach.percentile_size(A.packs(spark, d), 3, 4096, 0.8).select(F.col("target"))
+    return reach.percentile_size(A.packs(spark, d), 3, 4096, 4, 5)
 
 
 @query()

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cairn.functions import numbers, paths
-from cairn.operators import objects, observed
+from cairn.operators import objects, observed, reach
 
 BINDING = "fsid int, inode long, generation long, source int, state string, commit long, continuity string"
 PROOF = "source int, commit long, complete boolean, debt_free boolean, completed_at long"
@@ -79,3 +79,12 @@ def test_version_keys_sort_a_path_before_what_lies_below(spark):
     rows = [(1, "/ab", 1), (1, "/a/b", 1), (1, "/a", 300), (1, "/a", 2), (0, "/z", 9)]
     df = spark.createDataFrame(rows, "f int, p string, r long").orderBy(paths.version_key(F.col("f"), F.col("p"), F.col("r")))
     assert [tuple(r) for r in df.collect()] == [(0, "/z", 9), (1, "/a", 2), (1, "/a", 300), (1, "/a/b", 1), (1, "/ab", 1)]
+
+
+@pytest.mark.parametrize("sizes", [[], [7], [10, 10, 10], list(range(1, 201)), [1 << 40, 3, (1 << 40) + 1, 1 << 17, None]])
+def test_percentile_size_is_exact(spark, sizes):
+    packs = spark.createDataFrame([(x,) for x in sizes], "physical_size long")
+    known = sorted(x for x in sizes if x is not None)
+    for percent in (3, 50, 99):
+        want = max(5, known[len(known) * percent // 100] if known else 0) * 4 // 5
+        assert reach.percentile_size(packs, percent, 5, 4, 5).first()["target"] == want
