@@ -83,7 +83,7 @@ def percentile_size(packs: DataFrame, percent: int, least: int, num: int, den: i
     The place is found 16 bits of the size at a time from counts, 65,536 at most, so no task sorts all sizes. Without
     packs the least size counts.
     """
-    sizes = packs.filter("physical_size IS NOT NULL").select(F.col("physical_size").cast("long").alias("v"))
+    sizes = cut(packs.filter("physical_size IS NOT NULL").select(F.col("physical_size").cast("long").alias("v")))  # read four times
     found, place = None, None
     for shift in (48, 32, 16, 0):
         inside = sizes if found is None else sizes.filter(F.shiftright("v", shift + 16) == found)
