@@ -176,6 +176,14 @@ def metric_json_lines(spark, d):
     return spark.read.schema(e.schema).json(at)
 
 
+@query("SELECT event_id, 'requests' AS name, event_id * 2 AS value FROM events")
+def metric_json_lines_all_events(spark, d):
+    at = folder(spark)
+    e = A.table(spark, d, "events").select("event_id", F.lit("requests").alias("name"), (F.col("event_id") * 2).alias("value"))
+    sinks.append_lines(e, at)
+    return spark.read.schema(e.schema).json(at)
+
+
 @query(A.with_sql(A.EVENTS) + "SELECT seq, type FROM pack_events WHERE seq % 10 <> 0 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'")
 def event_log_with_corrupt_rows(spark, d):
     at = folder(spark)

@@ -331,6 +331,27 @@ def orphan_tree_roots(spark, d):
     return reach.orphan_roots(t, e)
 
 
+ALL_EDGES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS parent, 'p' || l_partkey AS child FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
+
+
+def all_edges(spark, d):
+    l = A.table(spark, d, "lineitem")  # noqa: E741
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    return l.select(s.alias("parent"), p.alias("child")).union(l.select(p, s)).distinct()
+
+
+@query(A.with_sql(ALL_EDGES) + ", r(key) AS (SELECT 's10' AS key UNION SELECT child FROM r JOIN edges ON parent = key) SELECT key FROM r")
+def reachable_from_roots_all_edges(spark, d):
+    return reach.closure(all_edges(spark, d), spark.createDataFrame([("s10",)], "key string"))
+
+
+@query(A.with_sql(ALL_EDGES) + ", t AS (SELECT parent AS key FROM edges UNION SELECT 's' || s_suppkey FROM supplier) SELECT key FROM t WHERE key NOT IN (SELECT child FROM edges)")
+def orphan_tree_roots_all_edges(spark, d):
+    e = all_edges(spark, d)
+    t = e.select(F.col("parent").alias("key")).union(A.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))).distinct()
+    return reach.orphan_roots(t, e)
+
+
 def parts(spark, d):
     return A.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("blob_id"))
 
@@ -369,10 +390,12 @@ acc AS (SELECT pack_id, """ + ", ".join(f"count(*) FILTER (WHERE state = '{s}'):
 plan AS (SELECT *, unused_bytes + duplicate_bytes AS waste, CASE WHEN used_bytes = 0 THEN 'remove' WHEN unused_bytes + duplicate_bytes > 0 OR used_bytes < 100000 THEN 'repack' ELSE 'keep' END AS plan FROM acc)"""
 MEMBERS = "members AS (SELECT blob_id, pack_id, min(ordinal) AS ordinal, min(length) AS length FROM blob_locations WHERE blob_id % 8 < 5 GROUP BY blob_id, pack_id)"
 AP = A.with_sql(A.PACKS, A.BLOBS, MEMBERS, ACCOUNTS)
+ALL_MEMBERS = "members AS (SELECT blob_id, pack_id, min(ordinal) AS ordinal, min(length) AS length FROM blob_locations GROUP BY blob_id, pack_id)"
+ALL_AP = A.with_sql(A.PACKS, A.BLOBS, ALL_MEMBERS, ACCOUNTS)
 
 
-def accounts(spark, d):
-    m = A.blob_locations(spark, d).filter("blob_id % 8 < 5").groupBy("blob_id", "pack_id").agg(F.min("ordinal").alias("ordinal"), F.min("length").alias("length"))
+def accounts(spark, d, members="blob_id % 8 < 5"):
+    m = A.blob_locations(spark, d).filter(members).groupBy("blob_id", "pack_id").agg(F.min("ordinal").alias("ordinal"), F.min("length").alias("length"))
     return reach.prune_accounts(m, parts(spark, d).filter("blob_id % 3 <> 0").union(spark.createDataFrame([(0,)], "blob_id long").filter("false")))
 
 
@@ -386,6 +409,16 @@ def prune_classification(spark, d):
     return reach.classify_packs(accounts(spark, d), 100_000).select("pack_id", "waste", "plan")
 
 
+@query(ALL_AP + "SELECT * FROM acc")
+def prune_accounts_all_blobs(spark, d):
+    return accounts(spark, d, "true")
+
+
+@query(ALL_AP + "SELECT pack_id, waste, plan FROM plan")
+def prune_classification_all_blobs(spark, d):
+    return reach.classify_packs(accounts(spark, d, "true"), 100_000).select("pack_id", "waste", "plan")
+
+
 @query(A.with_sql(A.PACKS) + "SELECT (greatest(physical_size, 4096) * 4 // 5)::BIGINT AS target FROM (SELECT physical_size, row_number() OVER (ORDER BY physical_size) AS n, count(*) OVER () AS total FROM packs) WHERE n = total * 3 // 100 + 1")
 def percentile_pack_size(spark, d):
     return reach.percentile_size(A.packs(spark, d), 3, 4096, 4, 5)
@@ -393,7 +426,7 @@ def percentile_pack_size(spark, d):
 
 @query()
 def budgeted_repack_selection(spark, d):
-    c = reach.classify_packs(accounts(spark, d), 100_000).join(A.packs(spark, d).select("pack_id", "type"), "pack_id")
+    c = reach.classify_packs(accounts(spark, d, "true"), 100_000).join(A.packs(spark, d).select("pack_id", "type"), "pack_id")
     return reach.budgeted(reach.candidate_order(c, 50_000), 5_000_000, 1_000_000, 100_000_000)
 
 
