@@ -10,6 +10,9 @@ from cairn.llm.common import cut, keyed
 #: Lines hashed together, and how many neighbouring hashes share one fingerprint. Every repeated run of
 #: K + WINDOW - 1 lines or more is found.
 K, WINDOW = 1, 2
+#: Words from which a single repeated line goes where single lines count.
+ALONE = 50
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def repeated_runs(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -44,7 +47,20 @@ def repeated_runs(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFram
     return later.groupBy("id", "h").agg(F.array_sort(F.collect_set("i")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def repeated_alone(docs: DataFrame, words: int) -> DataFrame:
+    """(id, h, starts) as above: lines that stood before anywhere, and have so many words or are all of their document."""
+    lines = keyed(docs.filter(F.col("text").isNotNull()), F.split("text", "\n").alias("l"))
+    # words of fewer letters than that can't be so many
+    long = lambda x: F.when(F.length(x) >= 2 * words - 1, F.regexp_count(x, F.lit(WORD)) >= words).otherwise(False)
+    spots = F.transform("l", lambda x, i: F.struct(i.cast("int").alias("i"), F.xxhash64(x).alias("content"), ((F.size("l") == 1) | long(x)).alias("counts")))
+    spots = lines.select("id", "h", F.inline(spots))
+    start = F.struct((-F.col("h").bitwiseAND(F.lit(1))).alias("none"), "id", "h", "i")
+    first = spots.groupBy("content").agg(F.min(start).alias("a"), F.max(start).alias("b"), F.max("counts").alias("any"))
+    later = spots.filter("counts").join(cut(first.filter("a <> b AND any").select("content", "a")), "content").filter(start != F.col("a"))
+    return later.groupBy("id", "h").agg(F.array_sort(F.collect_set("i")).alias("starts"))
+
+
+def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW, alone: int | None = None) -> DataFrame:
     """The documents with their columns, `text` without repeated runs, plus n_lines and n_removed.
 
     Lines are parts of the text between newlines, taken as they are. A run of k + window - 1 or more lines that
@@ -52,6 +68,8 @@ def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     Windows of lines choose their least hash as fingerprint; fingerprints of two places or more are joined, and
     around them whole windows are compared, so that overlapping windows extend a match both ways.
 
+    With `alone`, a single line that stood before goes too if it has so many words or is the whole document.
+
     Null texts stay null with 0 lines; the empty text is one empty line. Rows equal in doc_id and text are one
     document and keep or lose the same lines. An empty table gives an empty result. A document may end up empty but
     stays. Columns of any other name pass through; own columns named n_lines or n_removed are replaced.
@@ -59,7 +77,12 @@ def dedup_lines(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     run = k + window - 1
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = keyed(docs, F.struct(*columns).alias("row"))
-    joined = rows.join(repeated_runs(docs, k, window), ["id", "h"], "left").select("row", "starts")
+    found = repeated_runs(docs, k, window)
+    if alone is not None:
+        gone = found.select("id", "h", F.flatten(F.transform("starts", lambda i: F.sequence(i, i + F.lit(run - 1)))).alias("starts"))
+        both = gone.unionByName(repeated_alone(docs, alone)).groupBy("id", "h").agg(F.collect_list("starts").alias("starts"))  # two at most
+        found, run = both.select("id", "h", F.array_sort(F.array_distinct(F.flatten("starts"))).alias("starts")), 1
+    joined = rows.join(found, ["id", "h"], "left").select("row", "starts")
     lines = F.split("row.text", "\n")
     n = F.size(lines)
     m = F.size("starts")
@@ -98,3 +121,27 @@ a AS (
   FROM k GROUP BY doc_id)
 SELECT d.doc_id, a.text, coalesce(a.n_lines, 0)::BIGINT AS n_lines, coalesce(a.n_removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN a USING (doc_id)"""
+
+
+def dedup_alone_sql(alone: int = ALONE, run: int = K + WINDOW - 1) -> str:
+    """The same with `alone`, for tables whose doc_id is unique."""
+    ahead = " || chr(10) || ".join(f"lead(line, {j}) OVER w" for j in range(run))
+    return f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents),
+c AS (SELECT doc_id, i, line, {ahead} AS content, count(*) OVER (PARTITION BY doc_id) AS n FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (
+  SELECT doc_id, i, line, content IS NOT NULL AND row_number() OVER (PARTITION BY content ORDER BY doc_id, i) > 1 AS again,
+         row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND (n = 1 OR len(regexp_extract_all(line, '{WORD}')) >= {alone}) AS lone
+  FROM c),
+k AS (
+  SELECT doc_id, i, line,
+         lone OR coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {run - 1} PRECEDING AND CURRENT ROW), false) AS gone
+  FROM r),
+a AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
+  FROM k GROUP BY doc_id)
+SELECT d.doc_id, a.text, coalesce(a.n_lines, 0)::BIGINT AS n_lines, coalesce(a.n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN a USING (doc_id)"""

@@ -22,8 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go from the texts; n_chars follows where a text changed. All documents stay."""
-    out = lines.dedup_lines(docs)
+    """Later repeats of runs of lines and of long single lines go from the texts; n_chars follows where a text changed. All documents stay."""
+    out = lines.dedup_lines(docs, alone=lines.ALONE)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(docs.columns)
 
