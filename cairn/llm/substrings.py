@@ -1,4 +1,4 @@
-"""Substring dedup: relative Lempel-Ziv parsing against blocks of the whole collection."""
+"""Substring dedup: windows of words counted by content-chosen blocks of the whole collection (no Lempel-Ziv parsing)."""
 
 from __future__ import annotations
 
@@ -60,9 +60,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     1. Every document is cut into reference blocks at places that its content alone chooses, so equal windows lie in
        blocks with equal anchors wherever they stand. All blocks of all documents are the reference.
-    2. The index counts the blocks of each anchor. A document's factors are its runs of blocks that the index knows
-       from elsewhere. Where all blocks of an anchor agree, all of their windows are repeated.
-    3. Where they differ, at the ends of factors, windows are compared one by one.
+    2. The index counts the blocks of each anchor. `factors` are a document's blocks whose anchor occurs
+       more than once; they are no greedy matches and hold no reference positions. Where all blocks of an anchor agree, all of their windows are repeated.
+    3. Where they differ, at the ends of repeated passages, windows are compared one by one.
 
     Windows are judged on the input; all occurrences of a repeated window go, overlapping ones in one document too.
     Comparison is by 64-bit hashes of words and windows. Null texts count as empty (no words, hash of nothing); texts
