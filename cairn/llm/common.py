@@ -16,23 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir. Only a session with a local master may name none: it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = root or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cairn-checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="cairn-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder; Spark's cleaner removes the files of frames no longer used."""
+    """Ends the lineage in the shared folder.
+
+    Files of frames no longer used are removed if the session sets spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 class Scratch:
-    """Tables written below the shared folder as Parquet, dropped by the operator that made them."""
+    """Tables written below the shared folder as Parquet; leaving the block drops them, after failures too."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
@@ -44,6 +50,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
@@ -55,6 +67,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one value whose fields are numbered, whatever the columns are called."""
+    return F.struct(*(df[f"`{c.replace('`', '``')}`"].alias(f"c{i}") for i, c in enumerate(df.columns)))
+
+
+def row_columns(columns: list[str], row: str = "row", **instead: Column) -> list[Column]:
+    """The columns that `whole_row` took together, under their own names; `instead` replaces some."""
+    return [(instead[c] if c in instead else F.col(row).getField(f"c{i}")).alias(c) for i, c in enumerate(columns)]
+
+
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """id, h and more columns. Rows equal in doc_id and text share id and h.
 

@@ -11,11 +11,6 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
-def op1_line_dedup_single_lines(spark, sf_dir):
-    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=lines.ALONE)
-    return out.select("doc_id", "text", "n_lines", "n_removed")
-
-
 def op2_decontamination(spark, sf_dir):
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +53,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
-        op1_line_dedup_single_lines,
         op2_decontamination,
         op3_exact_top_k,
         op4_minimax_shards,
@@ -72,7 +66,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": lines.dedup_sql(),
-    "op1_line_dedup_single_lines": lines.dedup_alone_sql(),
     "op3_exact_top_k": topk.top_k_sql(),
     "op7_url_filters": urls.judge_sql(),
     "op10_license_scan": licenses.scan_sql(),

@@ -20,24 +20,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-BYTES = _mix(np.arange(1, 257, dtype=U))
-BYTE_BASE, WORD_BASE = 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15  # odd, so each has an inverse
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        full = np.full(max(n, PIECE + 4096), base, dtype=U)
-        full[0] = 1
-        have = np.multiply.accumulate(full)
-        if len(have) <= 4 * PIECE:  # longer ones, for a giant text, are not kept
-            _POWERS[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+GOLD, STEP = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+#: Keeps the first 0 to 8 bytes of a little-endian block.
+FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U)
 
 
 SPACES = np.zeros(256, dtype=bool)
@@ -64,46 +49,49 @@ def slices(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def words(raw: list[bytes], gaps: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, one after another, and where each text's words begin (and the last end)."""
-    blob = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    turns = np.diff(np.concatenate(([1], gaps[blob].view(np.int8))))
+    """Hashes of all words of the texts, one after another, and where each text's words begin (and the last end).
+
+    A word's blocks of 8 bytes are mixed, each with its place, and added up; the sum is mixed with the length. Words of
+    at most 8 bytes and equal length never share a hash.
+    """
+    blob = np.frombuffer(b"\n".join(raw) + b"\n" + bytes(8), dtype=np.uint8)
+    turns = np.diff(np.concatenate(([1], gaps[blob[:-8]].view(np.int8))))
     starts, ends = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
     bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1)))
-    values = BYTES[FOLD] if fold else BYTES
-    out, at = np.empty(len(starts), dtype=U), 0
-    back = inverse(BYTE_BASE)
+    blob = FOLD[blob] if fold else blob
+    eight = np.lib.stride_tricks.as_strided(blob.view(np.uint8), (len(blob) - 7, 8), (1, 1))
+    out, at, sizes = np.empty(len(starts), dtype=U), 0, ends - starts
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
-        lo, hi = starts[at], ends[to - 1]
-        sums = np.empty(hi - lo + 1, dtype=U)
-        sums[0] = 0
-        np.cumsum(values[blob[lo:hi]] * powers(BYTE_BASE, hi - lo), out=sums[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = _mix((sums[e] - sums[s]) * powers(back, hi - lo)[s] + (e - s).astype(U))
+        n = sizes[at:to]
+        blocks = (n + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        j = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        values = eight[np.repeat(starts[at:to], blocks) + 8 * j].view("<u8")[:, 0]
+        values = values & FIRST[np.minimum(np.repeat(n, blocks) - 8 * j, 8)]
+        out[at:to] = _mix(np.add.reduceat(_mix(values + (j + 1).astype(U) * GOLD), first) + n.astype(U) * STEP)
         at = to
     return out, np.searchsorted(starts, bounds)
 
 
-def grams(w: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words from each place on; the last k - 1 places are left out."""
+def grams(w: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """Hash of the k words from each place on; the last k - 1 places are left out. Lanes are independent hashes.
+
+    Built by doubling: a run is its first half and its second, mixed at every step.
+    """
     n = len(w) - k + 1
     if n <= 0:
         return np.empty(0, dtype=U)
-    out = np.zeros(n, dtype=U)
-    for j in range(k):
-        out = out * U(WORD_BASE) + w[j : j + n]
-    return _mix(out + U(k))
-
-
-class Spans:
-    """Hashes of any runs of words, from prefix sums."""
-
-    def __init__(self, w: np.ndarray):
-        self.sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(w * powers(WORD_BASE, len(w)))))
-        self.back = powers(inverse(WORD_BASE), len(w) + 1)
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U))
+    part, size, out, have = _mix(w + U(2 * lane + 1) * STEP), 1, None, 0
+    while True:
+        if k & size:
+            at = part[have : have + n]
+            out = at if out is None else _mix(out * GOLD + at)
+            have += size
+        if have == k:
+            return _mix(out + U(k))
+        part = _mix(part[:-size] * GOLD + (part[size:] ^ U(size)))
+        size *= 2
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -7,7 +7,6 @@ of the next. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm import decontam, jaccard, lines, packing, quality
 from cairn.llm.common import Scratch, cut, table
@@ -23,9 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines and of long single lines go from the texts; n_chars follows where a text changed. All documents stay."""
-    out = lines.dedup_lines(docs, alone=lines.ALONE)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(docs.columns)
+    return lines.without_repeated_lines(docs)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,14 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    last = None
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         scratch = Scratch(spark)
-        docs = scratch.write(stage(spark, docs, sf_dir))
-        if last:
-            last.drop()
+        try:
+            docs = scratch.write(stage(spark, docs, sf_dir))
+        except BaseException:
+            scratch.drop()
+            raise
+        finally:
+            if last:
+                last.drop()
         last = scratch
-    result = cut(STAGES[-1][1](spark, docs, sf_dir))
-    last.drop()
-    return result
+    with last:
+        return cut(STAGES[-1][1](spark, docs, sf_dir))

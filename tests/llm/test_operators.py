@@ -51,27 +51,6 @@ def key(x):
     return str(x)
 
 
-def test_line_dedup(spark):
-    rng = random.Random(2)
-    rows = [(None, None), (None, "b\na\nb\nc"), (1, ""), (2, "x\ny\nz"), (2, "x\ny\nz"), (3, "p\nx\ny\nz\nq"), (4, "a\na\na\na\na"), (5, "\n\n\n")]
-    rows += [(i, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 30)))) for i in range(10, 40)]
-    got = lines.dedup_lines(documents(spark, rows))
-    assert got.columns == [*DOCS.replace(",", "").split()[::2], "n_lines", "n_removed"]
-    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0]))
-    first = {}
-    for i, t in order:
-        x = [] if t is None else t.split("\n")
-        for a in range(len(x) - 1):
-            first.setdefault(tuple(x[a : a + 2]), (i, t, a))
-    expected = []
-    for i, t in rows:
-        x = [] if t is None else t.split("\n")
-        gone = {b for a in range(len(x) - 1) if first[tuple(x[a : a + 2])] != (i, t, a) for b in (a, a + 1)}
-        expected.append((i, None if t is None else "\n".join(y for b, y in enumerate(x) if b not in gone), len(x), len(gone)))
-    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=key) == sorted(expected, key=key)
-    assert lines.dedup_lines(documents(spark, [])).count() == 0
-
-
 def test_masks_lose_nothing():
     for differ in itertools.combinations(range(decontam.LENGTH), decontam.SUBSTITUTED):
         assert any(
