@@ -1,4 +1,4 @@
-"""Substring dedup: windows of words counted by content-chosen blocks of the whole collection (no Lempel-Ziv parsing)."""
+"""Substring dedup: relative Lempel-Ziv parsing of every document against content-chosen reference blocks."""
 
 from __future__ import annotations
 
@@ -15,44 +15,76 @@ from cairn.llm.common import Scratch, cut, keyed, real_id
 
 #: Words of a window, and words of the anchor that cuts reference blocks.
 WINDOW, ANCHOR = 35, 8
-LOW = (1 << 24) - 1
+LOW, CHUNK = (1 << 24) - 1, 1 << 23
+
+
+def anchors(g: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each `span` neighbouring hashes stands, the first of equal ones."""
+    out = []
+    for at in range(0, max(len(g) - span + 1, 0), CHUNK):  # places fit the low bits within a chunk
+        part = g[at : at + CHUNK + span - 1]
+        least = tk.window_min((part & ~tk.U(LOW)) | np.arange(len(part), dtype=tk.U), span)
+        out.append(at + (least & tk.U(LOW)).astype(np.int64))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
 def blocks_of(w: np.ndarray, bounds: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Reference blocks of the texts whose words are w: text number, first window, number of windows, anchor and content.
 
     Every window of words has an anchor, the least hash of `anchor` words in it (the first of equal ones). Neighbouring
-    windows with the same anchor form a block; its content is all words of its windows.
+    windows with the same anchor form a block; its content is all words of its windows. A block has at most
+    window - anchor + 1 windows, so its first and its last window hold all of its words.
     """
-    if len(w) < window:
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
     g = tk.grams(w, anchor)
-    least = tk.window_min((g & ~tk.U(LOW)) | (np.arange(len(g), dtype=tk.U) & tk.U(LOW)), window - anchor + 1)
-    i = np.arange(len(least))
-    place = i + (((least & tk.U(LOW)).astype(np.int64) - i) & LOW)
+    place = anchors(g, window - anchor + 1)
+    i = np.arange(len(place))
     text = np.searchsorted(bounds, i, "right") - 1
     good = i + window <= bounds[text + 1]
     i, place, text = i[good], place[good], text[good]
-    new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (i[1:] != i[:-1] + 1)))) if len(i) else np.empty(0, int)
+    if not len(i):
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+    new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (i[1:] != i[:-1] + 1))))
     a, count = i[new], np.diff(np.concatenate((new, [len(i)])))
-    content = tk.Spans(w)(a, a + count + window - 1) + (place[new] - a).astype(tk.U)
+    whole = tk.grams(w, window, 1)
+    content = tk._mix(tk._mix(whole[a] * tk.GOLD + whole[a + count - 1]) + (count * window + place[new] - a).astype(tk.U))
     return text[new], a - bounds[text[new]], count, g[place[new]].view(np.int64), content.view(np.int64)
 
 
-def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of n words lie in a window that begins at one of the starts."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
-    return np.cumsum(edge[:-1]) > 0
-
+def parse(blocks: list, window: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Factors (first word, end) of a document, and the windows at their boundaries that are still to be checked.
 
-def _finish(raw: bytes, starts: np.ndarray, window: int) -> tuple[int, int, str]:
+    Greedy: from a block that stands elsewhere too, a factor goes on as long as the next block stands at the next place
+    of the same reference document. Blocks with a known anchor whose whole content stands nowhere else hold the
+    boundaries; they are asked for, and so is the first of each kind of block they may partly agree with.
+    """
+    factors, last, checks = [], None, []
+    for b in sorted(blocks, key=lambda b: b["a"]):
+        end = b["a"] + b["n"] + window - 1
+        if b["asked"]:
+            checks.append(np.arange(b["a"], b["a"] + b["n"]))
+        if not b["again"]:
+            continue
+        ref = (b["ref"]["id"], b["ref"]["h"], b["ref"]["a"] - b["a"])
+        if last == (ref, b["a"]):
+            factors[-1] = (factors[-1][0], end)
+        else:
+            factors.append((b["a"], end))
+        last = (ref, b["a"] + b["n"])
+    return [f for f in factors if f[1] - f[0] >= window], np.concatenate(checks) if checks else np.empty(0, np.int64)
+
+
+def _finish(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
+    """Words, words removed, and the hash of what is left."""
     own = raw.split()  # bytes.split() cuts at 0x20 and 0x09 to 0x0D
-    if not len(starts):
+    if not spans:
         return len(own), 0, hashlib.sha256(b" ".join(own)).hexdigest()
-    gone = _covered(len(own), starts, window)
-    return len(own), int(gone.sum()), hashlib.sha256(b" ".join([x for x, g in zip(own, gone.tolist(), strict=True) if not g])).hexdigest()
+    edge = np.zeros(len(own) + 1, dtype=np.int64)
+    at = np.asarray(spans, dtype=np.int64)
+    np.add.at(edge, at[:, 0], 1)
+    np.add.at(edge, at[:, 1], -1)
+    keep = np.cumsum(edge[:-1]) == 0
+    kept = b" ".join([x for x, k in zip(own, keep.tolist(), strict=True) if k])
+    return len(own), int(len(own) - keep.sum()), hashlib.sha256(kept).hexdigest()
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -60,81 +92,79 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     1. Every document is cut into reference blocks at places that its content alone chooses, so equal windows lie in
        blocks with equal anchors wherever they stand. All blocks of all documents are the reference.
-    2. The index counts the blocks of each anchor. `factors` are a document's blocks whose anchor occurs
-       more than once; they are no greedy matches and hold no reference positions. Where all blocks of an anchor agree, all of their windows are repeated.
-    3. Where they differ, at the ends of repeated passages, windows are compared one by one.
+    2. The index gives each distinct block that has an anchor in common with others its first place (document, window)
+       and count.
+    3. Each document is parsed greedily into factors: runs of blocks that continue at one reference document.
+       Factors of `window` words or more are duplicate spans.
+    4. At factor boundaries, where a block has a known anchor but ends differently, windows are checked one by one.
 
     Windows are judged on the input; all occurrences of a repeated window go, overlapping ones in one document too.
-    Comparison is by 64-bit hashes of words and windows. Null texts count as empty (no words, hash of nothing); texts
-    shorter than a window lose nothing; equal rows are two documents and remove each other's windows. An empty table
-    gives an empty result. Columns other than doc_id and text are not read.
+    Comparison is by hashes: 64 bits of a block's content besides 64 of its anchor, 128 of a window. Null texts count as
+    empty (no words, hash of nothing); texts shorter than a window lose nothing; equal rows are two documents and remove
+    each other's windows. An empty table gives an empty result. Columns other than doc_id and text are not read.
 
-    A frequent anchor is only counted (combined before the shuffle) and joined, where Spark splits hot keys.
+    A frequent block is only counted (combined before the shuffle) and joined, where Spark splits hot keys. A
+    document's factors are gathered as sets, so rows equal in doc_id and text share them.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_dedup(docs, window, anchor, scratch))
+
+
+def _dedup(docs: DataFrame, window: int, anchor: int, scratch: Scratch) -> DataFrame:
     docs = keyed(docs, F.coalesce("text", F.lit("")).alias("text"))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first, raw in tk.slices(pdf["text"]):
                 text, a, n, g, content = blocks_of(*tk.words(raw, tk.SPACES, False), window, anchor)
                 at = pdf.iloc[first + text]
                 yield pd.DataFrame({"id": at["id"].array, "h": at["h"].array, "a": a, "n": n, "g": g, "content": content})
 
-    blocks = scratch.write(docs.mapInPandas(parse, "id long, h long, a int, n int, g long, content long"))
-    index = blocks.groupBy("g").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    index = cut(index.filter("c > 1").select("g", (F.col("lo") != F.col("hi")).alias("differ")))
-    factors = blocks.join(index, "g").groupBy("id", "h").agg(F.collect_list(F.struct("a", "n", "differ")).alias("f"))
-    factors = factors.select("id", "h", *(F.col(f"f.{c}").alias(c) for c in ("a", "n", "differ")))
-    joined = docs.join(factors, ["id", "h"], "left")
-
-    def ranges(a, n, which) -> np.ndarray:
-        a, n = np.asarray(a, dtype=np.int64)[which], np.asarray(n, dtype=np.int64)[which]
-        return np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())) if len(a) else np.empty(0, np.int64)
-
+    blocks = scratch.write(docs.mapInPandas(cut_up, "id long, h long, a int, n int, g long, content long"))
+    known = cut(blocks.groupBy("g").count().filter("count > 1").select("g"))
+    shared = scratch.write(blocks.join(known, "g"))
+    index = cut(shared.groupBy("g", "content").agg((F.count("*") > 1).alias("again"), F.min(F.struct("id", "h", "a")).alias("ref")))
+    # anchors with a block that must be checked: their reference blocks give their windows to be checked against
+    asked = index.filter("NOT again").groupBy("g").agg(F.lit(True).alias("asked"))
+    index = index.join(asked, "g", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    block = F.struct("a", "n", "again", "ref", (F.col("asked") & (F.col("ref") == F.struct("id", "h", "a"))).alias("asked"))
+    factors = shared.join(index, ["g", "content"]).groupBy("id", "h").agg(F.collect_set(block).alias("blocks"))
     out = "id long, h long, n_words long, n_removed long, kept_sha256 string"
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Finishes documents without open windows; gives the text and the open windows' hashes of the others."""
+        """Finishes documents without windows to check; gives the text, spans and those windows' hashes of the others."""
         for pdf in batches:
             rows = []
-            for doc, h, text, a, n, differ in zip(*(pdf[c] for c in ("id", "h", "text", "a", "n", "differ")), strict=True):
+            for doc, h, text, own in zip(pdf["id"], pdf["h"], pdf["text"], pdf["blocks"], strict=True):
                 raw = text.encode()
-                mask = np.zeros(0, bool) if a is None else np.asarray(differ, dtype=bool)
-                sure = ranges(a, n, ~mask) if len(mask) else np.empty(0, np.int64)
-                unsure = np.setdiff1d(ranges(a, n, mask), sure) if mask.any() else np.empty(0, np.int64)
-                if len(unsure):
+                spans, checks = parse(own, window) if own is not None else ([], ())
+                if len(checks):
                     w, _ = tk.words([raw], tk.SPACES, False)
-                    hashes = tk.Spans(w)(unsure, unsure + window).view(np.int64)
-                    rows.append((doc, h, None, None, None, text, sure, unsure, hashes))
+                    lanes = (tk.grams(w, window, lane)[checks].view(np.int64) for lane in (0, 1))
+                    rows.append((doc, h, None, None, None, text, [x for s in spans for x in s], checks, *lanes))
                 else:
-                    rows.append((doc, h, *_finish(raw, sure, window), None, None, None, None))
-            yield pd.DataFrame(rows, columns=["id", "h", "n_words", "n_removed", "kept_sha256", "text", "sure", "at", "hashes"]).astype(
-                {"n_words": "Int64", "n_removed": "Int64"}
-            )
+                    rows.append((doc, h, *_finish(raw, spans), None, None, None, None, None))
+            names = ["id", "h", "n_words", "n_removed", "kept_sha256", "text", "spans", "at", "x", "y"]
+            yield pd.DataFrame(rows, columns=names).astype({"n_words": "Int64", "n_removed": "Int64"})
 
     compared = scratch.write(
-        joined.select("id", "h", "text", "a", "n", "differ").mapInPandas(
-            compare, out + ", text string, sure array<int>, at array<int>, hashes array<long>"
-        )
-    )
+        docs.join(factors, ["id", "h"], "left").select("id", "h", "text", "blocks")
+        .mapInPandas(compare, out + ", text string, spans array<int>, at array<int>, x array<long>, y array<long>")
+    )
     unsettled = compared.filter("text IS NOT NULL")
-    spots = unsettled.select("id", "h", F.explode(F.arrays_zip("at", "hashes")).alias("x")).select("id", "h", "x.at", "x.hashes")
-    again = cut(spots.groupBy("hashes").count().filter("count > 1").select("hashes"))
-    found = spots.join(again, "hashes").groupBy("id", "h").agg(F.collect_set("at").alias("more"))
+    spots = unsettled.select("id", "h", F.explode(F.arrays_zip("at", "x", "y")).alias("z")).select("id", "h", "z.*")
+    again = cut(spots.groupBy("x", "y").count().filter("count > 1").select("x", "y"))
+    found = spots.join(again, ["x", "y"]).groupBy("id", "h").agg(F.collect_set("at").alias("more"))
     late = unsettled.join(found, ["id", "h"], "left")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (doc, h, *_finish(text.encode(), np.concatenate([np.asarray(x, dtype=np.int64) for x in (sure, more) if x is not None]), window))
-                for doc, h, text, sure, more in zip(pdf["id"], pdf["h"], pdf["text"], pdf["sure"], pdf["more"], strict=True)
-            ]
+            rows = []
+            for doc, h, text, spans, more in zip(pdf["id"], pdf["h"], pdf["text"], pdf["spans"], pdf["more"], strict=True):
+                own = [*zip(spans[::2], spans[1::2], strict=True), *((a, a + window) for a in (more if more is not None else ()))]
+                rows.append((doc, h, *_finish(text.encode(), own)))
             yield pd.DataFrame(rows, columns=["id", "h", "n_words", "n_removed", "kept_sha256"])
 
     done = compared.filter("text IS NULL").select("id", "h", "n_words", "n_removed", "kept_sha256")
-    done = done.unionByName(late.select("id", "h", "text", "sure", "more").mapInPandas(settle, out))
-    result = cut(done.select(real_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256"))
-    scratch.drop()
-    return result
+    done = done.unionByName(late.select("id", "h", "text", "spans", "more").mapInPandas(settle, out))
+    return done.select(real_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256")

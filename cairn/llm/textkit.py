@@ -21,6 +21,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 GOLD, STEP = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+STEPS = np.arange(1, 4, 2, dtype=U) * STEP
 #: Keeps the first 0 to 8 bytes of a little-endian block.
 FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U)
 
@@ -82,7 +83,7 @@ def grams(w: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     n = len(w) - k + 1
     if n <= 0:
         return np.empty(0, dtype=U)
-    part, size, out, have = _mix(w + U(2 * lane + 1) * STEP), 1, None, 0
+    part, size, out, have = _mix(w + STEPS[lane]), 1, None, 0
     while True:
         if k & size:
             at = part[have : have + n]

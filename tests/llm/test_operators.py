@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import decontam, jaccard, licenses, lines, packing, quality, shards, substrings, topk, urls
+from cairn.llm import decontam, jaccard, licenses, lines, packing, quality, shards, substrings, textkit, topk, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, row int, key string, id string"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -343,6 +343,43 @@ def test_substrings(spark, window, anchor):
     assert substrings.dedup_substrings(documents(spark, [])).count() == 0
 
 
+def test_parse_goes_on_at_the_same_reference():
+    block = lambda a, n, again, doc, at: {"a": a, "n": n, "again": again, "asked": not again, "ref": {"id": doc, "h": 0, "a": at}}
+    factors, checks = substrings.parse([block(9, 4, True, 2, 109), block(0, 5, True, 1, 50), block(5, 4, True, 1, 55), block(13, 2, False, 3, 0), block(20, 3, True, 1, 70)], 10)
+    assert factors == [(0, 18), (9, 22), (20, 32)]
+    assert checks.tolist() == [13, 14]
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    x = np.random.default_rng(1).integers(0, 5, 3000).astype(np.uint64) << np.uint64(40)
+    whole = substrings.anchors(x, 9).tolist()
+    assert whole == [i + int(np.argmin(x[i : i + 9])) for i in range(len(x) - 8)]
+    monkeypatch.setattr(substrings, "CHUNK", 100)
+    assert substrings.anchors(x, 9).tolist() == whole
+
+
+def test_words_that_a_polynomial_confuses():
+    a = "0"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("01", "10"))
+    b = a.translate(str.maketrans("01", "10"))
+    w, _ = textkit.words([a.encode(), b.encode(), a.encode()], textkit.SPACES, False)
+    assert w[0] == w[2] != w[1]
+    texts = [x.replace("0", "u ").replace("1", "v ") for x in (a, b)]
+    g = [textkit.grams(textkit.words([t.encode()], textkit.SPACES, False)[0], 1024)[0] for t in texts]
+    assert g[0] != g[1]
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    w, _ = textkit.words([" ".join(words).encode()], textkit.SPACES, False)
+    assert len(set(zip(words, w.tolist(), strict=True))) == len(set(words)) == len(set(w.tolist()))
+
+
+def test_equal_rows_in_linear_time(spark):
+    text = " ".join(f"w{i * i % 3001}" for i in range(3000))
+    docs = spark.range(2000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    assert substrings.dedup_substrings(docs).groupBy("doc_id", "n_words", "n_removed").count().collect() == [(1, 3000, 3000, 2000)]
+
+
 def test_licenses(spark):
     texts = [
         None, "", "...", "CC BY cc by", "x CC-by\ny all rights  RESERVED.", "Released under the MIT license\nmore", "Released under MIT",
