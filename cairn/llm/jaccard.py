@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
-from cairn.llm.common import Scratch, components, cut, keyed, real_id
+from cairn.llm.common import Scratch, components, cut, keyed, real_id, row_columns, whole_row
 
 #: Share of a set's least hashes looked at beyond what any partner may lack.
 SLACK = 0.12
-#: Sets of one candidate group that a task compares with each other, or with as many others.
-BLOCK = 256
-#: Weighs list length against the number of long lists when the lists are divided.
-MU = 0.01
+#: Sets, and elements of them all, of one candidate group that a task compares with each other or with as many others.
+BLOCK, ELEMENTS = 256, 1 << 19
+#: Weighs list length against the number of long lists when the lists are divided; long lists probed at a time.
+MU, PROBED = 1.0, 16
 
 
 def shingle_sets(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -29,35 +29,36 @@ def shingle_sets(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
         yield np.unique(g[a : b - k + 1]) if b - a >= k else tk.grams(w[a:b], b - a) if b > a else g[:0]
 
 
-def set_id(x: np.ndarray) -> int:
-    """The same for equal sets; 0 for the empty one."""
-    if not len(x):
-        return 0
-    total = np.add.reduce(tk._mix(x + tk.U(tk.BYTE_BASE)), dtype=tk.U)
-    return int((tk._mix(np.array([total + tk.U(len(x))])) | tk.U(1)).view(np.int64)[0])
+def set_id(x: np.ndarray) -> tuple[int, int]:
+    """128 bits that are the same for equal sets."""
+    total = (np.add.reduce(tk._mix(x + s), dtype=tk.U) for s in tk.STEPS)
+    return tuple(int(tk._mix(np.array([t + tk.U(len(x))])).view(np.int64)[0]) for t in total)
 
 
-def _overlap(a: int, b: int, num: int, den: int) -> int:
+def _overlap(a, b, num: int, den: int):
     """Least intersection of sets of sizes a and b with den * I >= num * U."""
     return -(-num * (a + b) // (den + num))
 
 
-def divide_skip(sets: list[np.ndarray], first: int, num: int, den: int, across: bool) -> list[tuple[int, int]]:
-    """Links that join the sets (at most one tree of them). With `across`, links sets before `first` with later ones.
+def divide_skip(
+    sets: list[np.ndarray], first: int, num: int, den: int, across: bool, weights: np.ndarray | None = None
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs that join the linked sets as a forest, and for each set the sum of its partners' weights.
 
-    Each set searches the inverted lists of its elements for sets that reach the needed overlap T: the L longest lists
-    are put aside, the others are merged, and sets found T - L times or more are looked up in the long lists by
-    binary search.
+    With `across`, links sets before `first` with later ones. Each set searches the inverted lists of its elements for
+    sets that reach the needed overlap T: the L longest lists are put aside, the others are merged, and sets found
+    T - L times or more are looked up in the long lists by binary search, until they can no longer reach their T. Every
+    pair that may link is verified; without weights (all zeros come back) only pairs not joined through others yet.
     """
     m = len(sets)
     size = np.fromiter(map(len, sets), dtype=np.int64, count=m)
     elements, rank = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), size)
     order = np.lexsort((owner, rank))
-    lists, begin = owner[order], np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=len(elements)))))
+    lists, begin = owner[order].astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=len(elements)))))
     keys = rank[order] * m + lists  # sorted
     bounds = np.concatenate(([0], np.cumsum(size)))
-    parent, links = list(range(m)), []
+    parent, links, sums = list(range(m)), [], np.zeros(m, dtype=np.int64)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -77,27 +78,37 @@ def divide_skip(sets: list[np.ndarray], first: int, num: int, den: int, across:
         aside = min(need - 1, int(need / (MU * math.log2(max(longest, 2)) + 1)))
         short, long = own[: len(own) - aside], own[len(own) - aside :]
         n = begin[short + 1] - begin[short]
-        hits = lists[np.repeat(begin[short] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        counts = np.bincount(hits, minlength=m)
-        counts[x] = 0
-        found = np.flatnonzero(counts >= need - aside)
-        found = found[found >= first] if across else found[found > x]
-        found = found[(size[found] * den >= size[x] * num) & (size[x] * den >= size[found] * num)]
-        if not len(found):
-            continue
-        mine = root(x)
-        found = np.array([y for y in found.tolist() if root(y) != mine], dtype=np.int64)  # joined already
-        if len(found) and len(long):
-            probe = (long[:, None] * m + found[None, :]).ravel()
-            at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-            total = counts[found] + (keys[at] == probe).reshape(len(long), -1).sum(0)
+        # a stable sort merges the sorted lists
+        merged = np.sort(lists[np.repeat(begin[short] - np.cumsum(n) + n, n) + np.arange(n.sum())], kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+        found, total = merged[new].astype(np.int64), np.diff(np.concatenate((new, [len(merged)])))
+        wanted = _overlap(int(size[x]), size[found], num, den)
+        may = (total + aside >= wanted) & (found >= first if across else found > x)
+        may &= (size[found] * den >= size[x] * num) & (size[x] * den >= size[found] * num)
+        if weights is None and may.any():
+            mine = root(x)
+            may &= np.fromiter((root(y) != mine for y in found.tolist()), dtype=bool, count=len(found))
+        found, total, wanted = found[may], total[may], wanted[may]
+        for at in range(0, len(long), PROBED):
+            if not len(found):
+                break
+            part = long[at : at + PROBED]
+            probe = (part[:, None] * m + found[None, :]).ravel()
+            spot = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+            total = total + (keys[spot] == probe).reshape(len(part), -1).sum(0)
+            may = total + (len(long) - at - len(part)) >= wanted
+            found, total, wanted = found[may], total[may], wanted[may]
+        if weights is not None:
+            found = found[total >= wanted]
+            sums[x] += weights[found].sum()
+            sums[found] += weights[x]
         else:
-            total = counts[found]
-        for y, i in zip(found.tolist(), total.tolist(), strict=True):
-            if i >= _overlap(int(size[x]), int(size[y]), num, den) and root(y) != root(x):
+            found = found[total >= wanted]
+        for y in found.tolist():
+            if root(y) != root(x):
                 parent[root(y)] = root(x)
                 links.append((x, y))
-    return links
+    return links, sums
 
 
 def candidate_groups(sets: DataFrame, need: Column) -> DataFrame:
@@ -124,91 +135,100 @@ def candidate_groups(sets: DataFrame, need: Column) -> DataFrame:
     return cut(groups.join(members, "root").select(F.col("id").alias("sid"), "root", "members"))
 
 
-def similar_components(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, and id and h of `keyed`, and root, one for each
-    component: components of texts whose shingle sets have den * I >= num * U.
+def similar_components(docs: DataFrame, k: int, num: int, den: int = 100, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, and id and h of `keyed`, and root, one for each component: components
+    of texts whose shingle sets have den * I >= num * U. n_links: other documents that a document links with.
 
     Exact, by 64-bit hashes of shingles:
-    1. Equal sets are one set from here on, so copies cost nothing further.
+    1. Equal sets (128 bits) are one set from here on, so copies cost nothing further.
     2. Each set shows its least hashes, a share of 1 - num/den + SLACK. Two linked sets have at least
        SLACK * num/den of their size among these in common. Sets that share so many, through their rarer hashes, form
        candidate groups.
     3. Groups of more than BLOCK sets are divided again in the same way by their whole sets, which must have num/den of
        their hashes in common.
     4. Whole sets of each group are compared by T-occurrence search; groups still over BLOCK sets are cut into blocks,
-       and every pair of blocks is a task. Links become components.
+       and every pair of blocks is a task. Every link between different sets is verified and counted, with the number
+       of documents on its other side; links of copies follow from their numbers. A task gives back a forest of its
+       links and its counts, so what is shuffled afterwards grows with the sets, not with the links. Without
+       `count_links` pairs already joined are passed over, and n_links is null.
 
     Null and empty texts have no shingles, link with nothing and are their own component; a null doc_id counts only
     where no other id is in the component. Rows equal in doc_id and text are copies. An empty table gives an
     empty result; columns other than doc_id and text are not read.
     """
-    spark = docs.sparkSession
-    scratch, early = Scratch(spark), Scratch(spark)
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_components(docs, k, num, den, count_links, scratch))
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, count_links: bool, scratch: Scratch) -> DataFrame:
     docs = keyed(docs, F.coalesce("text", F.lit("")).alias("text"))
     share = 1 - num / den + SLACK
 
     def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first, raw in tk.slices(pdf["text"]):
-                rows = [(len(x), set_id(x), x[: math.ceil(share * len(x))].view(np.int64)) for x in shingle_sets(raw, k)]
-                out = pd.DataFrame(rows, columns=["n", "sid", "hashes"])
+                rows = [(len(x), *set_id(x), x[: math.ceil(share * len(x))].view(np.int64)) for x in shingle_sets(raw, k)]
+                out = pd.DataFrame(rows, columns=["n", "s1", "s2", "hashes"])
                 at = pdf.iloc[first : first + len(raw)]
-                yield out.assign(id=at["id"].array, h=at["h"].array)[["id", "h", "n", "sid", "hashes"]]
-
-    seen = early.write(docs.mapInPandas(shown, "id long, h long, n long, sid long, hashes array<long>"))
-    members = scratch.write(seen.drop("hashes"))
-    rep = F.min(F.struct(F.col("h").bitwiseAND(F.lit(1)).alias("none"), "id", "h")).alias("rep")
-    sets = scratch.write(
-        seen.filter("n > 0").groupBy("sid").agg(rep, F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-        .select("sid", "n", "rep.id", "rep.h", "hashes")
-    )
-    early.drop()
+                yield out.assign(id=at["id"].array, h=at["h"].array)[["id", "h", "n", "s1", "s2", "hashes"]]
+
+    with Scratch(docs.sparkSession) as early:
+        seen = early.write(docs.mapInPandas(shown, "id long, h long, n long, s1 long, s2 long, hashes array<long>"))
+        members = scratch.write(seen.drop("hashes"))
+        rep = F.min(F.struct(F.col("h").bitwiseAND(F.lit(1)).alias("none"), "id", "h")).alias("rep")
+        one = seen.filter("n > 0").groupBy("s1", "s2").agg(rep, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+        # numbers that stay, because they are written
+        sets = scratch.write(one.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "copies", "n", "rep.id", "rep.h", "hashes"))
     groups = candidate_groups(sets, F.greatest(F.lit(1), F.ceil(F.col("n") * (SLACK * num / den) - 1e-9)).cast("int"))
-    picked = groups.join(sets.select("sid", "n", "id", "h"), "sid")
+    picked = groups.join(sets.select("sid", "n", "copies", "id", "h"), "sid")
     # the join leaves equal rows side by side, so dropping repeats shuffles nothing more
-    texts = docs.join(picked, ["id", "h"]).dropDuplicates(["id", "h"]).select("sid", "n", "root", "members", "text")
+    carried = ["sid", "n", "copies", "root", "members"]
+    texts = docs.join(picked, ["id", "h"]).dropDuplicates(["id", "h"]).select(*carried, "text")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first, raw in tk.slices(pdf["text"]):
-                yield pdf.iloc[first : first + len(raw)][["sid", "n", "root", "members"]].assign(
-                    hashes=[x.view(np.int64) for x in shingle_sets(raw, k)]
-                )
+                yield pdf.iloc[first : first + len(raw)][carried].assign(hashes=[x.view(np.int64) for x in shingle_sets(raw, k)])
 
-    full = scratch.write(texts.mapInPandas(whole, "sid long, n long, root long, members long, hashes array<long>"))
+    full = scratch.write(texts.mapInPandas(whole, "sid long, n long, copies long, root long, members long, hashes array<long>"))
     few, many = full.filter(F.col("members") <= BLOCK), full.filter(F.col("members") > BLOCK)
     if not many.isEmpty():
         finer = candidate_groups(many.select("sid", "n", "hashes"), F.greatest(F.lit(1), F.ceil(F.col("n") * num / den)).cast("int"))
         few = few.unionByName(many.drop("root", "members").join(finer, "sid"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    full = few.select("sid", "root", "hashes", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"))
-    pairs = full.select("sid", "root", "block", "hashes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "sid", "root", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "hashes"
+    totals = few.groupBy("root").agg(F.sum("n").alias("elements"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / ELEMENTS)).cast("int")
+    full = few.join(cut(totals), "root").select(
+        "sid", "root", "copies", "hashes", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")
+    )
+    pairs = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "sid", "root", "block", "copies", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "hashes"
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "sid"])
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        found = divide_skip([np.asarray(x).view(tk.U) for x in pdf["hashes"]], int((pdf["block"] == i).sum()), num, den, i != j)
+        weights = pdf["copies"].to_numpy() if count_links else None
+        found, sums = divide_skip([np.asarray(x).view(tk.U) for x in pdf["hashes"]], int((pdf["block"] == i).sum()), num, den, i != j, weights)
         sid = pdf["sid"].to_numpy()
-        return pd.DataFrame([(sid[a], sid[b]) for a, b in found], columns=["a", "b"], dtype="int64")
+        rows = [(sid[a], sid[b], 0) for a, b in found] + [(sid[x], None, int(sums[x])) for x in np.flatnonzero(sums)]
+        return pd.DataFrame(rows, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
 
-    links = cut(pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long"))
+    results = cut(pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long, n long"))
+    links, counts = results.filter("b IS NOT NULL").select("a", "b"), results.filter("b IS NULL")
     linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     roots = components(linked, links)
-    least = sets.select("sid", real_id().alias("doc_id")).join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = cut(least)
+    counted = counts.groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("others"))
+    least = sets.select("sid", "s1", "s2", "copies", real_id().alias("doc_id")).join(roots.withColumnRenamed("id", "sid"), "sid", "left")
+    least = cut(least.join(counted, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     ids = cut(least.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = cut(least.join(ids, "root").select("sid", "root", "component_id"))
-    result = cut(
-        members.join(named, "sid", "left")
-        .select(
-            real_id().alias("doc_id"), "id", "h", "root", F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("component_id")).otherwise(real_id()).alias("component_id"),
-        )
+    n_links = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+    named = cut(least.join(ids, "root").select("s1", "s2", "root", "component_id", (n_links if count_links else F.lit(None).cast("long")).alias("n_links")))
+    some = F.col("n") > 0
+    return members.join(named, ["s1", "s2"], "left").select(
+        real_id().alias("doc_id"), "id", "h", "root", F.col("n").alias("n_shingles"),
+        F.when(some, F.col("component_id")).otherwise(real_id()).alias("component_id"),
+        F.when(some, F.col("n_links")).when(F.lit(count_links), 0).alias("n_links"),
     )
-    scratch.drop()
-    return result
 
 
 def keep_one_each(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
@@ -216,9 +236,9 @@ def keep_one_each(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFram
 
     Of several rows with that id the one with the least text hash stays; documents without shingles all stay.
     """
-    found = similar_components(docs, k, num, den)
+    found = similar_components(docs, k, num, den, count_links=False)
     least = F.struct(F.isnull("doc_id").alias("none"), "id", "h")
     stay = found.filter("n_shingles > 0").groupBy("root").agg(F.min(least).alias("m")).select("m.id", "m.h")
     stay = cut(stay.unionByName(found.filter("n_shingles = 0").select("id", "h").distinct()))
-    kept = keyed(docs, F.struct(*docs.columns).alias("row")).join(stay, ["id", "h"], "left_semi")
-    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    kept = keyed(docs, whole_row(docs).alias("row")).join(stay, ["id", "h"], "left_semi")
+    return kept.select(*row_columns(docs.columns))

@@ -38,7 +38,7 @@ def op7_url_filters(spark, sf_dir):
 
 def op8_ngram_jaccard_join(spark, sf_dir):
     found = jaccard.similar_components(table(spark, sf_dir, "documents"), k=4, num=85)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op9_substring_dedup(spark, sf_dir):

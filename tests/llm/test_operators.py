@@ -296,12 +296,13 @@ def shingles(t, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize(("k", "num", "block"), [(4, 85, 256), (5, 80, 4)])
-def test_jaccard(spark, monkeypatch, k, num, block):
+@pytest.mark.parametrize(("k", "num", "block", "elements"), [(4, 85, 256, 1 << 19), (5, 80, 4, 1 << 19), (4, 85, 256, 400)])
+def test_jaccard(spark, monkeypatch, k, num, block, elements):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ELEMENTS", elements)
     rows = corpus(10)
     sets = [shingles(t, k) for _, t in rows]
-    parent = list(range(len(rows)))
+    parent, n_links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while parent[i] != i:
@@ -311,13 +312,15 @@ def test_jaccard(spark, monkeypatch, k, num, block):
     for i, j in itertools.combinations(range(len(rows)), 2):
         if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
             parent[root(i)] = root(j)
+            n_links[i] += 1
+            n_links[j] += 1
     groups = collections.defaultdict(list)
     for i in range(len(rows)):
         groups[root(i)].append(rows[i][0])
     smallest = lambda x: min((i for i in x if i is not None), default=None)
-    expected = [(rows[i][0], len(sets[i]), smallest(groups[root(i)])) for i in range(len(rows))]
+    expected = [(rows[i][0], len(sets[i]), smallest(groups[root(i)]), n_links[i]) for i in range(len(rows))]
     docs = documents(spark, rows)
-    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(docs, k, num).collect()]
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_components(docs, k, num).collect()]
     assert sorted(got, key=key) == sorted(expected, key=key)
     kept = jaccard.keep_one_each(docs, k, num)
     assert kept.columns == docs.columns
@@ -328,6 +331,31 @@ def test_jaccard(spark, monkeypatch, k, num, block):
     assert jaccard.similar_components(documents(spark, []), k, num).count() == 0
 
 
+@pytest.mark.parametrize("mu", [0.01, 1.0])
+@pytest.mark.parametrize("across", [False, True])
+def test_divide_skip_finds_every_link(monkeypatch, across, mu):
+    monkeypatch.setattr(jaccard, "MU", mu)
+    rng = np.random.default_rng(12)
+    base = rng.choice(10_000, size=(4, 120), replace=False)
+    sets = [np.unique(np.where(rng.random(120) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 10_000, 120), base[i % 4])).astype(np.uint64) for i in range(60)]
+    weights = rng.integers(1, 9, 60)
+    links = [(i, j) for i, j in itertools.combinations(range(60), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) and (not across or i < 25 <= j)]
+    sums = np.zeros(60, dtype=int)
+    for i, j in links:
+        sums[i] += weights[j]
+        sums[j] += weights[i]
+    forest, got = jaccard.divide_skip(sets, 25, 80, 100, across, weights)
+    assert got.tolist() == sums.tolist() and set(forest) <= set(links) and len(links) > 30
+
+    def classes(edges):
+        at = list(range(60))
+        for i, j in edges:
+            at = [at[i] if x == at[j] else x for x in at]
+        return [at.index(x) for x in at]
+
+    assert classes(forest) == classes(links) == classes(jaccard.divide_skip(sets, 25, 80, 100, across)[0])
+
+
 @pytest.mark.parametrize(("window", "anchor"), [(35, 8), (6, 3)])
 def test_substrings(spark, window, anchor):
     rows = corpus(11) + [(5000, " ".join("ab"[i % 2] for i in range(90))), (5001, "spam " * 36)]
