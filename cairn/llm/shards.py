@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cairn.llm.common import cut
 
 #: Hex digits by which groups are summed at a time: at most 4,096 sums for each prefix that is split reach the driver.
 DIGITS = 3
-#: Blocks of each shard in which slots are counted.
-BLOCKS = 1024
 
 
 class _Line:
@@ -82,6 +84,9 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     prefix (4,096 at first) and asks for finer sums only where a cut falls inside a prefix, so the answer is exact
     with bounded memory. Within that capacity cuts go where sizes are most even.
 
+    Slots are counted where the rows lie: each part of the table has a first slot in each shard, so nothing is sorted
+    and a common id or text makes no hot key. The driver holds one count for each part and shard.
+
     Null texts count as empty ones: size 1, checksum 0, one group. Repeated rows each get a slot. An empty table
     gives an empty result. Other columns are not read. A group larger than its share fills a shard alone.
     """
@@ -92,8 +97,9 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.sha2(text, 256).alias("key"),
+            F.spark_partition_id().alias("part"),
         )
-    )
+    )  # the parts are written, so they stay as they are
 
     def fetch(prefixes: list[str]) -> list[tuple[str, int, bool]]:
         depth = len(prefixes[0]) if len({len(p) for p in prefixes}) == 1 else None
@@ -107,18 +113,27 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     _, cuts = _cuts(_Line(fetch), shards)
     shard = sum(((F.col("key") >= c).cast("int") for c in cuts), F.lit(0))
-    dealt = base.withColumn("shard", shard).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    first = dealt.groupBy("shard", "block").count().select(
-        "shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")
-    )  # shards times BLOCKS rows at most
-    within = Window.partitionBy("shard", "block").orderBy("doc_id", "key")
-    return dealt.join(F.broadcast(first), ["shard", "block"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("first") + F.row_number().over(within) - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    dealt = base.withColumn("shard", shard)
+    counts: dict[int, np.ndarray] = {}
+    for r in dealt.groupBy("part", "shard").count().collect():
+        counts.setdefault(r["part"], np.zeros(shards, dtype=np.int64))[r["shard"]] = r["count"]
+    first, before = {}, np.zeros(shards, dtype=np.int64)
+    for part in sorted(counts):
+        first[part] = before
+        before = before + counts[part]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            keys = pd.DataFrame({c: batch.column(c).to_numpy() for c in ("part", "shard")})
+            slot = np.empty(len(keys), dtype=np.int64)
+            for (part, shard), at in keys.groupby(["part", "shard"]).indices.items():
+                begin = ahead.setdefault((part, shard), int(first[part][shard]))
+                slot[at] = begin + np.arange(len(at))
+                ahead[part, shard] = begin + len(at)
+            yield batch.append_column("slot", pa.array(slot))
+
+    numbered = dealt.mapInArrow(number, StructType([*dealt.schema, StructField("slot", LongType())]))
+    return numbered.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
