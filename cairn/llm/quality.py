@@ -8,11 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairn.llm import textkit as tk
+from cairn.llm.common import cut
 
-#: Bytes of a passage, about; labelled documents to learn from at most, and passages of each that are looked at then.
-PASSAGE, SAMPLE, SAMPLE_PASSAGES = 600, 4000, 32
+#: Bytes of a passage, about; labelled documents to learn from at most, and passages of them all at most.
+PASSAGE, SAMPLE, SAMPLE_PASSAGES = 600, 4000, 50_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 16, 8, 40, 128, 0.01
 THRESHOLD = 0.3
 
@@ -21,33 +23,40 @@ KIND = np.full(256, 6, dtype=np.int32)
 KIND[0x61:0x7B], KIND[0x41:0x5B], KIND[0x30:0x3A], KIND[0x80:] = 0, 1, 2, 7
 KIND[[0x20, 0x09]], KIND[[0x0A, 0x0B, 0x0C, 0x0D]] = 3, 4
 KIND[[ord(c) for c in ".,;:'\"()-?"]] = 5
-FEATURES = 64 + 4
+#: Words are dealt into so many buckets by their hash.
+BUCKETS = 64
+FEATURES = 64 + 4 + BUCKETS
 
 
 def passages(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage of the texts, and where each text's passages begin (and the last end).
 
-    Features are shares of pairs of neighbouring byte classes, words equal to the word before, distinct words, word
-    length and passage length. An empty text has one passage of zeros.
+    A passage ends before the first word that begins PASSAGE bytes or so after the passage did. Features are shares of
+    pairs of neighbouring byte classes, words equal to the word before, distinct words, word length, passage length,
+    and shares of words (A to Z lower-cased) by hash. An empty text has one passage of zeros.
     """
     blob = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    w, _ = tk.words(raw, tk.SPACES, True)
+    begins = np.flatnonzero(np.diff(np.concatenate(([1], tk.SPACES[blob].view(np.int8)))) == -1)
+    start = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
     count = np.maximum(1, np.rint(size / PASSAGE).astype(np.int64))
-    bounds = np.concatenate(([0], np.cumsum(count)))
     step = np.maximum(1, -(-size // count))
-    start = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-    first = np.repeat(start, count) + (np.arange(bounds[-1]) - np.repeat(bounds[:-1], count)) * np.repeat(step, count)
-    end = np.minimum(first + np.repeat(step, count), np.repeat(start + size, count))
-    length = np.maximum(0, end - first)
+    text = np.repeat(np.arange(len(raw)), count)
+    wanted = start[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step[text]
+    following = np.concatenate((begins, [len(blob)]))[np.searchsorted(begins, wanted)]
+    inner = (wanted > start[text]) & (following < (start + size)[text])
+    first = np.unique(np.concatenate((start, following[inner])))
+    bounds = np.concatenate((np.searchsorted(first, start), [len(first)]))
+    end = np.concatenate((first[1:], [0]))
+    end[bounds[1:] - 1] = start + size
+    length = end - first
     kind = KIND[blob]
     pair = kind[:-1] * 8 + kind[1:]
     own = np.repeat(np.arange(len(first)), length)
     inside = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
     shares = np.bincount(own * 64 + pair[np.minimum(inside, max(len(pair) - 1, 0))], minlength=64 * len(first)).reshape(-1, 64) if len(own) else np.zeros((len(first), 64))
 
-    w, places = tk.words(raw, tk.SPACES, False)
-    turns = np.diff(np.concatenate(([1], tk.SPACES[blob].view(np.int8))))
-    begins = np.flatnonzero(turns == -1)
     passage = np.searchsorted(first, begins, "right") - 1
     n = np.bincount(passage, minlength=len(first))
     same = np.zeros(len(w), dtype=bool)
@@ -58,7 +67,8 @@ def passages(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     some = np.maximum(n, 1)
     more = np.stack((np.bincount(passage, weights=same, minlength=len(first)) / some, distinct / some, length / some / 10, np.log1p(length) / 10), axis=1)
     more[length == 0] = 0
-    return np.hstack((shares / np.maximum(length, 1)[:, None], more)).astype(np.float32), bounds
+    kinds = np.bincount(passage * BUCKETS + (w >> tk.U(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS * len(first)).reshape(-1, BUCKETS)
+    return np.hstack((shares / np.maximum(length, 1)[:, None], more, kinds / some[:, None])).astype(np.float32), bounds
 
 
 class Model(NamedTuple):
@@ -129,7 +139,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from at most `sample` labelled documents, the first by a hash of their id, none of them held out.
 
-    Ids with contradicting labels take no part. None if nothing is labelled.
+    Every passage of such a document is learnt from. The sample ends where it would hold more than SAMPLE_PASSAGES; a
+    first document that is longer than that is learnt from all the same. Ids with contradicting labels take no part. None
+    if nothing is labelled.
     """
     known = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -142,12 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         for pdf in batches:
             for first, raw in tk.slices(pdf["text"]):
                 x, bounds = passages(raw)
-                picks = [x[a:b][np.unique(np.linspace(0, b - a - 1, min(b - a, SAMPLE_PASSAGES)).astype(int))] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                picks = [x[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 at = pdf.iloc[first : first + len(raw)]
                 yield pd.DataFrame({"doc_id": at["doc_id"].array, "quality": at["quality"].array, "x": [p.tobytes() for p in picks]})
 
     seen = rows.mapInPandas(look, "doc_id long, quality int, x binary")
-    got = seen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).collect()  # `sample` rows at most
+    one = cut(seen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")))  # `sample` rows at most
+    row = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    at = one.select("doc_id", F.sum(F.octet_length("x") / (4 * FEATURES)).over(row).alias("n"), F.row_number().over(row).alias("k"))
+    picked = at.filter((F.col("n") <= SAMPLE_PASSAGES) | (F.col("k") == 1)).select("doc_id")
+    got = one.join(F.broadcast(picked), "doc_id").collect()
     if not got:
         return None
     got.sort(key=lambda r: r["doc_id"])
