@@ -5,10 +5,10 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import keyed, real_id
+from cairn.llm.common import cut, keyed, real_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one task packs together.
@@ -45,31 +45,38 @@ def best_fit(rows: list[tuple[int, int, int]], capacity: int, source_limit: int)
     return placed
 
 
-def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = SHARD_ROWS, source_limit: int = SOURCE_LIMIT) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = 2048, shard_rows: int = SHARD_ROWS, source_limit: int = SOURCE_LIMIT, cluster: Column | None = None
+) -> DataFrame:
     """Packs every document's words into bins of `capacity` words, longest pieces first.
 
     A document longer than a bin is cut into full pieces, each a bin of its own, and a remainder. Remainders are
-    packed best-fit in shards of about `shard_rows` documents, dealt by a hash of id and text, so no source and no
-    group of copies gathers in one task. A bin takes no two documents of one cluster (equal lower-cased texts) and
-    at most `source_limit` of one source.
+    packed best-fit in shards of about `shard_rows` documents, dealt by a hash of id, text and place in the table, so no
+    source, group of copies or repeated row gathers in one task. The tightest compatible bin is the tightest of the
+    shard. A bin takes no two documents of one cluster and at most `source_limit` of one source. `cluster` says which
+    documents are one cluster (such as the component_id of the Jaccard join, as a column of docs; null: none);
+    without it, those with equal lower-cased texts are.
 
     Null or wordless texts give one row with no bin and length 0. Null sources are one source. Repeated rows are
     packed each for itself, in different bins. Extra columns are not read; an empty table gives an empty result.
     """
-    shards = max(1, -(-docs.count() // shard_rows))
+    same = F.xxhash64(F.lower(F.coalesce("text", F.lit("")))) if cluster is None else cluster.cast("long")
     slim = keyed(
         docs,
         F.col("source").cast("string").alias("source"),
-        F.xxhash64(F.lower(F.coalesce("text", F.lit("")))).alias("cluster"),
+        same.alias("cluster"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-    ).withColumn("shard", F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("long"))
+    )
+    slim = cut(slim)  # once written, rows keep their places
+    shards = max(1, -(-slim.count() // shard_rows))
+    slim = slim.withColumn("shard", F.pmod(F.xxhash64("id", "h", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     schema = "id long, h long, source string, cluster long, n_words long, piece int, start long, length long, bin long, bin_offset int"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "h"], kind="stable").reset_index(drop=True)
         source = pd.factorize(pdf["source"].fillna("\0"))[0]
         number, _ = pd.factorize(pdf["cluster"])
-        twins = pdf["cluster"].duplicated(keep=False).to_numpy()
+        twins = (pdf["cluster"].duplicated(keep=False) & pdf["cluster"].notna()).to_numpy()
         rest = (pdf["n_words"] % capacity).to_numpy()
         order = [i for i in sorted(range(len(pdf)), key=lambda i: -rest[i]) if rest[i]]
         spots = dict(zip(order, best_fit([(int(rest[i]), int(source[i]), int(number[i]) if twins[i] else -1) for i in order], capacity, source_limit), strict=True))
