@@ -134,11 +134,11 @@ def placement_counts_by_backend(spark, d):
 
 
 @query(
-    A.with_sql(A.PACKS, A.PLACEMENTS, LIVE) + """SELECT pack_id, coalesce(offsite_copies, 0) AS offsite_copies, coalesce(domains, 0) AS domains, coalesce(copies, 0) AS copies,
+    A.with_sql(A.PACKS, A.PLACEMENTS, LIVE.replace("state = 'live'", "state = 'live' AND role <> 'read-cache'")) + """SELECT pack_id, coalesce(offsite_copies, 0) AS offsite_copies, coalesce(domains, 0) AS domains, coalesce(copies, 0) AS copies,
 coalesce(copies, 0) >= 2 AND coalesce(domains, 0) >= 2 AND coalesce(offsite_copies, 0) >= 1 AS durable FROM packs LEFT JOIN sets USING (pack_id)"""
 )
 def pack_durability(spark, d):
-    return ops.durability(A.packs(spark, d), A.placements(spark, d), A.backends(spark, d), copies=2, domains=2, offsite=1)
+    return ops.durability(A.packs(spark, d), A.placements(spark, d), A.backends(spark, d), copies=2, offsite=1)
 
 
 @query(
@@ -151,10 +151,11 @@ def derived_tier(spark, d):
 
 @query(
     P + """SELECT pack_id, epoch_us(greatest(TIMESTAMP '1999-01-31', min_retention_until))::BIGINT AS delete_us,
-coalesce(unused_bytes / 1073741824.0 * 2.0 * 12 > used_bytes / 1073741824.0 * (5.0 + 1.0) AND min_retention_until IS NOT NULL, false) AS pays FROM packs"""
+coalesce(unused_bytes / 1073741824.0 * 2.0 * 12 > (physical_size + 4096) / 1073741824.0 * (3.0 + 2.0 * greatest(0, epoch_us(min_retention_until) - epoch_us(TIMESTAMP '1996-01-01')) / 3600e6 / 720) + 2 / 1000.0 * 1e-6
+  AND min_retention_until IS NOT NULL, false) AS pays FROM packs"""
 )
 def repack_economics(spark, d):
-    return A.packs(spark, d).select("pack_id", F.unix_micros(ops.delete_after(datetime(1999, 1, 1), 30)).alias("delete_us"), ops.repack_pays(2.0, 5.0, 12, 1.0).alias("pays"))
+    return A.packs(spark, d).select("pack_id", F.unix_micros(ops.delete_after(datetime(1999, 1, 1), 30)).alias("delete_us"), ops.repack_pays(datetime(1996, 1, 1), 2.0, 12 * ops.MONTH, 3.0, 1e-6, 2, 4096).alias("pays"))
 
 
 @query(
@@ -268,7 +269,9 @@ H = A.with_sql(A.EVENTS, _buckets(["hour"])) + ", p AS (SELECT start, sum(added_
 
 @query(
     H + """, e AS (SELECT min(value) AS lo, max(value) AS hi, greatest(1, (max(value) - min(value)) // 10)::BIGINT AS w FROM p)
-SELECT bin, (lo + bin * w)::BIGINT AS "from", count(*)::BIGINT AS points FROM (SELECT CASE WHEN hi = lo THEN 0 ELSE least((value - lo) // w, 9) END::INTEGER AS bin, lo, w FROM p, e) GROUP BY ALL"""
+SELECT bin::INTEGER AS bin, (lo + bin * w)::BIGINT AS "from", CASE WHEN bin = 9 OR lo = hi THEN hi ELSE lo + (bin + 1) * w END::BIGINT AS "to",
+  (SELECT count(*) FROM p WHERE lo = hi OR (value >= lo + bin * w AND CASE WHEN bin = 9 THEN value <= hi ELSE value < lo + (bin + 1) * w END))::BIGINT AS points
+FROM e, range(10) r(bin) WHERE lo < hi OR bin = 0"""
 )
 def series_histogram(spark, d):
     return series.histogram(_points(spark, d, "added_bytes", None, "hour"))

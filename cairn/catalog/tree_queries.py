@@ -310,36 +310,27 @@ def commit_range(spark, d):
     return history.commit_range(path_versions(spark, d), 100, 2000).select("path", "commit")
 
 
-EDGES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS parent, 'p' || l_partkey AS child FROM lineitem WHERE l_suppkey % 10 = 0 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_partkey % 40 = 0)"""
+ALL_EDGES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS parent, 'p' || l_partkey AS child FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
 
 
-def edges(spark, d):
+def all_edges(spark, d):
     l = A.table(spark, d, "lineitem")  # noqa: E741
     s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    return l.filter("l_suppkey % 10 = 0").select(s.alias("parent"), p.alias("child")).union(l.filter("l_partkey % 40 = 0").select(p, s)).distinct()
+    return l.select(s.alias("parent"), p.alias("child")).union(l.select(p, s)).distinct()
 
 
-@query(A.with_sql(EDGES) + ", r(key) AS (SELECT 's10' AS key UNION SELECT child FROM r JOIN edges ON parent = key) SELECT key FROM r")
+@query(A.with_sql(ALL_EDGES) + ", r(key) AS (SELECT 's10' AS key UNION SELECT child FROM r JOIN edges ON parent = key) SELECT key FROM r")
 def reachable_from_roots(spark, d):
-    return reach.closure(edges(spark, d), spark.createDataFrame([("s10",)], "key string"))
+    return reach.closure(all_edges(spark, d), spark.createDataFrame([("s10",)], "key string"))
 
 
-@query(A.with_sql(EDGES) + ", t AS (SELECT parent AS key FROM edges UNION SELECT 's' || s_suppkey FROM supplier) SELECT key FROM t WHERE key NOT IN (SELECT child FROM edges)")
+@query(A.with_sql(ALL_EDGES) + ", t AS (SELECT parent AS key FROM edges UNION SELECT 's' || s_suppkey FROM supplier) SELECT key FROM t WHERE key NOT IN (SELECT child FROM edges)")
 def orphan_tree_roots(spark, d):
-    e = edges(spark, d)
+    e = all_edges(spark, d)
     t = e.select(F.col("parent").alias("key")).union(A.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))).distinct()
     return reach.orphan_roots(t, e)
 
 
-ALL_EDGES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS parent, 'p' || l_partkey AS child FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
-
-
-def all_edges(spark, d):
-    l = A.table(spark, d, "lineitem")  # noqa: E741
-    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    return l.select(s.alias("parent"), p.alias("child")).union(l.select(p, s)).distinct()
-
-
 @query(A.with_sql(ALL_EDGES) + ", r(key) AS (SELECT 's10' AS key UNION SELECT child FROM r JOIN edges ON parent = key) SELECT key FROM r")
 def reachable_from_roots_all_edges(spark, d):
     return reach.closure(all_edges(spark, d), spark.createDataFrame([("s10",)], "key string"))
@@ -388,35 +379,33 @@ ACCOUNTS = """
 acc AS (SELECT pack_id, """ + ", ".join(f"count(*) FILTER (WHERE state = '{s}')::BIGINT AS {s}_blobs, coalesce(sum(length) FILTER (WHERE state = '{s}'), 0)::BIGINT AS {s}_bytes" for s in ("used", "duplicate", "unused")) + """
   FROM (SELECT pack_id, length, CASE WHEN blob_id % 3 = 0 THEN 'unused' WHEN row_number() OVER (PARTITION BY blob_id ORDER BY pack_id, ordinal, length) = 1 THEN 'used' ELSE 'duplicate' END AS state FROM members) GROUP BY pack_id),
 plan AS (SELECT *, unused_bytes + duplicate_bytes AS waste, CASE WHEN used_bytes = 0 THEN 'remove' WHEN unused_bytes + duplicate_bytes > 0 OR used_bytes < 100000 THEN 'repack' ELSE 'keep' END AS plan FROM acc)"""
-MEMBERS = "members AS (SELECT blob_id, pack_id, min(ordinal) AS ordinal, min(length) AS length FROM blob_locations WHERE blob_id % 8 < 5 GROUP BY blob_id, pack_id)"
-AP = A.with_sql(A.PACKS, A.BLOBS, MEMBERS, ACCOUNTS)
 ALL_MEMBERS = "members AS (SELECT blob_id, pack_id, min(ordinal) AS ordinal, min(length) AS length FROM blob_locations GROUP BY blob_id, pack_id)"
 ALL_AP = A.with_sql(A.PACKS, A.BLOBS, ALL_MEMBERS, ACCOUNTS)
 
 
-def accounts(spark, d, members="blob_id % 8 < 5"):
-    m = A.blob_locations(spark, d).filter(members).groupBy("blob_id", "pack_id").agg(F.min("ordinal").alias("ordinal"), F.min("length").alias("length"))
+def accounts(spark, d):
+    m = A.blob_locations(spark, d).groupBy("blob_id", "pack_id").agg(F.min("ordinal").alias("ordinal"), F.min("length").alias("length"))
     return reach.prune_accounts(m, parts(spark, d).filter("blob_id % 3 <> 0").union(spark.createDataFrame([(0,)], "blob_id long").filter("false")))
 
 
-@query(AP + "SELECT * FROM acc")
+@query(ALL_AP + "SELECT * FROM acc")
 def prune_accounts(spark, d):
     return accounts(spark, d)
 
 
-@query(AP + "SELECT pack_id, waste, plan FROM plan")
+@query(ALL_AP + "SELECT pack_id, waste, plan FROM plan")
 def prune_classification(spark, d):
     return reach.classify_packs(accounts(spark, d), 100_000).select("pack_id", "waste", "plan")
 
 
 @query(ALL_AP + "SELECT * FROM acc")
 def prune_accounts_all_blobs(spark, d):
-    return accounts(spark, d, "true")
+    return accounts(spark, d)
 
 
 @query(ALL_AP + "SELECT pack_id, waste, plan FROM plan")
 def prune_classification_all_blobs(spark, d):
-    return reach.classify_packs(accounts(spark, d, "true"), 100_000).select("pack_id", "waste", "plan")
+    return reach.classify_packs(accounts(spark, d), 100_000).select("pack_id", "waste", "plan")
 
 
 @query(A.with_sql(A.PACKS) + "SELECT (greatest(physical_size, 4096) * 4 // 5)::BIGINT AS target FROM (SELECT physical_size, row_number() OVER (ORDER BY physical_size) AS n, count(*) OVER () AS total FROM packs) WHERE n = total * 3 // 100 + 1")
@@ -426,8 +415,8 @@ def percentile_pack_size(spark, d):
 
 @query()
 def budgeted_repack_selection(spark, d):
-    c = reach.classify_packs(accounts(spark, d, "true"), 100_000).join(A.packs(spark, d).select("pack_id", "type"), "pack_id")
-    return reach.budgeted(reach.candidate_order(c, 50_000), 5_000_000, 1_000_000, 100_000_000)
+    c = reach.classify_packs(accounts(spark, d), 100_000).join(A.packs(spark, d).select("pack_id", "type"), "pack_id")
+    return reach.budgeted(reach.candidate_order(c, 50_000), 5_000_000, 1_000_000)
 
 
 @query("SELECT l_partkey::BIGINT AS blob_id, count(*)::BIGINT AS \"references\", count(DISTINCT l_linenumber)::BIGINT AS revisions, count(DISTINCT l_orderkey)::BIGINT AS inodes FROM lineitem GROUP BY 1")
@@ -450,9 +439,9 @@ def compare_expected_with_stored(spark, d):
     return checks.compare(left, right, ["pack_id"], ["blobs", "bytes"])
 
 
-@query("SELECT l_partkey::BIGINT AS blob_id, 'missing' AS kind FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 6 = 0 UNION ALL SELECT l_partkey::BIGINT, 'unexpected' FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 7 = 0 AND l_partkey % 6 <> 0")
+@query("SELECT l_partkey::BIGINT AS blob_id, 'missing' AS kind FROM lineitem WHERE l_partkey % 6 = 0 UNION ALL SELECT l_partkey::BIGINT, 'unexpected' FROM lineitem WHERE l_partkey % 7 = 0 AND l_partkey % 6 <> 0")
 def multiset_difference_both_ways(spark, d):
-    b = A.table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").cast("long").alias("blob_id"))
+    b = A.table(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("blob_id"))
     left = b.filter("blob_id % 7 <> 0 OR blob_id % 6 = 0")
     return checks.except_both_ways(left, b.filter("blob_id % 6 <> 0"))
 

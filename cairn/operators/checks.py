@@ -49,9 +49,22 @@ def sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 
 
 def random_share(rows: DataFrame, percent: float, seed: int) -> DataFrame:
-    """At random, percent of the rows, at least one."""
-    n = max(1, int(rows.count() * percent / 100))
-    return rows.orderBy(F.rand(seed)).limit(n)
+    """percent of the rows, rounded down but at least one, chosen by a hash of seed and row.
+
+    Rows whose hash is clearly below the share's limit are taken as they are scanned; only those near the limit are
+    sorted. Rows that are equal have different places in the order by their number among equals.
+    """
+    total = rows.count()
+    wanted = max(1, int(total * percent / 100)) if total else 0
+    hashed = rows.withColumn("_r", F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 40)))
+    slack = int((1 << 40) * min(1.0, 4 * (wanted**0.5 + 4) / max(total, 1)))
+    at = int((1 << 40) * wanted / max(total, 1))
+    sure = hashed.filter(F.col("_r") < at - slack)
+    short = wanted - sure.count()
+    near = hashed.filter((F.col("_r") >= at - slack) & (F.col("_r") <= at + slack))
+    if short < 0 or near.count() < short:  # the hashes of repeated rows are not spread evenly
+        sure, near, short = hashed.filter("false"), hashed, wanted
+    return sure.unionByName(near.orderBy("_r", *rows.columns).limit(short)).drop("_r")
 
 
 def reduce_references(edges: DataFrame, counters: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairn.functions.paths import clean, lineage
 
@@ -108,3 +109,32 @@ def reject_nodes(nodes: DataFrame, max_size: int | None = None, devices: list[in
         hit = kept.select("path", F.explode(above).alias("at"))
         kept = kept.join(hit.join(marked, "at", "left_semi").select("path").distinct(), "path", "left_anti").select(nodes.columns)
     return kept
+
+
+def bound_revisions(bindings: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Each binding with the revision it names; a binding without its revision is an error. Both: fsid, inode, revision."""
+    joined = bindings.join(revisions.withColumn("_there", F.lit(True)), ["fsid", "inode", "revision"], "left")
+    sure = F.assert_true("_there", F.concat_ws(" ", F.lit("no revision of binding"), F.col("fsid"), F.col("inode"), F.col("revision")))
+    return joined.filter(sure.isNull()).drop("_there")
+
+
+def covered_windows(windows: DataFrame, coverage: DataFrame, retained_from) -> DataFrame:
+    """The windows with `valid`: whether one unbroken stretch of observation spans them and none begins before what is
+    retained. windows: source, start, end; coverage: source, start, end (half-open, in any order, overlapping or touching)."""
+    before = Window.partitionBy("source").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    breaks = coverage.select("source", "start", "end").withColumn("_new", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
+    run = F.sum("_new").over(Window.partitionBy("source").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
+    whole = breaks.withColumn("_run", run).groupBy("source", "_run").agg(F.min("start").alias("_from"), F.max("end").alias("_to"))
+    return windows.join(whole.withColumnRenamed("source", "_s"), (F.col("source") == F.col("_s")) & (F.col("_from") <= F.col("start")) & (F.col("end") <= F.col("_to")), "left").select(
+        "source", "start", "end", (F.col("_s").isNotNull() & (F.col("start") >= F.lit(retained_from)) & (F.col("start") < F.col("end"))).alias("valid")
+    )
+
+
+def feed_gaps(feed: DataFrame) -> DataFrame:
+    """first_missing and last_missing: commits that a change feed lacks between those it has."""
+    following = feed.select("commit").distinct().withColumn("_part", F.floor(F.col("commit") / 65_536))
+    ahead = F.lead("commit").over(Window.partitionBy("_part").orderBy("commit"))
+    firsts = following.groupBy("_part").agg(F.min("commit").alias("_first"))  # a row for each 65,536 commits
+    later = firsts.select(F.lag("_part").over(Window.orderBy("_part")).alias("_part"), F.col("_first").alias("_next"))
+    rows = following.withColumn("_ahead", ahead).join(later, "_part", "left").withColumn("_ahead", F.coalesce("_ahead", "_next"))
+    return rows.filter(F.col("_ahead") > F.col("commit") + 1).select((F.col("commit") + 1).alias("first_missing"), (F.col("_ahead") - 1).alias("last_missing"))

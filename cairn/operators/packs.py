@@ -32,6 +32,8 @@ class PackFilter:
     retention_unknown: bool = False
     delete_pending: bool = False
     not_offsite: bool = False
+    classes: tuple[str, ...] = ()
+    promotion_due_at: int | None = None
 
     def tests(self) -> dict[str, Column]:
         c, out = F.col, {}
@@ -58,6 +60,10 @@ class PackFilter:
             out["retention_unknown"] = c("min_retention_until").isNull()
         if self.delete_pending:
             out["delete_pending"] = c("lifecycle") == "delete-pending"
+        if self.promotion_due_at is not None:
+            out["promotion_due"] = c("eligible") & (c("horizon") <= self.promotion_due_at)
+        if self.classes:
+            out["class"] = F.arrays_overlap(F.coalesce("live_classes", F.array().cast("array<string>")), F.array(*map(F.lit, self.classes)))
         if self.backends or self.not_offsite:
             live = F.coalesce(c("live_backends"), F.array().cast("array<bigint>"))
             if self.backends:
@@ -66,9 +72,15 @@ class PackFilter:
                 out["not_offsite"] = F.coalesce(c("offsite_copies"), F.lit(0)) == 0
         return out
 
-    def apply(self, packs: DataFrame, placements: DataFrame | None = None, backends: DataFrame | None = None) -> DataFrame:
+    def apply(self, packs: DataFrame, placements: DataFrame | None = None, backends: DataFrame | None = None, promotion: DataFrame | None = None) -> DataFrame:
+        """promotion: pack_id, eligible, horizon, as `promotion_horizons` gives them; packs without are not due."""
         if self.backends or self.not_offsite:
             packs = packs.join(placement_sets(placements, backends), "pack_id", "left")
+        if self.classes:
+            live = placements.filter("state = 'live'").groupBy("pack_id").agg(F.collect_set("storage_class").alias("live_classes"))
+            packs = packs.join(live, "pack_id", "left")
+        if self.promotion_due_at is not None:
+            packs = packs.join(promotion, "pack_id", "left")
         for test in self.tests().values():
             packs = packs.filter(test)
         return packs
@@ -191,9 +203,13 @@ def backend_counts(placements: DataFrame) -> DataFrame:
     return placements.filter("state = 'live'").groupBy("backend").agg(F.count("*").cast("long").alias("objects"), F.sum("bytes").cast("long").alias("bytes"))
 
 
-def durability(packs: DataFrame, placements: DataFrame, backends: DataFrame, copies: int, domains: int, offsite: int) -> DataFrame:
-    """Whether each pack has enough copies, distinct failure domains and copies off site."""
-    sets = packs.select("pack_id").join(placement_sets(placements, backends).drop("live_backends"), "pack_id", "left").na.fill(0)
+def durability(packs: DataFrame, placements: DataFrame, backends: DataFrame, copies: int = 1, domains: int = 0, offsite: int = 0) -> DataFrame:
+    """Whether each pack has enough copies, distinct failure domains and copies off site. Read caches count for none; 0
+    copies means 1, and 0 domains as many as copies."""
+    copies = copies or 1
+    domains = domains or copies
+    lasting = placement_sets(placements, backends.filter("role <> 'read-cache'"))
+    sets = packs.select("pack_id").join(lasting.drop("live_backends"), "pack_id", "left").na.fill(0)
     ok = (F.col("copies") >= copies) & (F.col("domains") >= domains) & (F.col("offsite_copies") >= offsite)
     return sets.withColumn("durable", ok)
 
@@ -214,12 +230,21 @@ def delete_after(now: datetime, keep_days: int) -> Column:
     return F.greatest(F.lit(now) + F.expr(f"INTERVAL {keep_days} DAYS"), F.col("min_retention_until"))
 
 
-def repack_pays(unused_price: float, egress: float, months: int, write_price: float) -> Column:
-    """Whether the storage saved on unused bytes exceeds what reading and rewriting the used ones costs. Not where the
-    retention or the usage is unknown."""
+#: Hours of a month, as prices count them.
+MONTH = 24 * 30
+
+
+def repack_pays(now: datetime, price: float, horizon_hours: float, egress: float = 0.0, per_1k_requests: float = 0.0, requests: int = 0, overhead: int = 0) -> Column:
+    """Whether the storage saved on unused bytes over the horizon exceeds what it costs to read the pack, to ask for
+    it, and to go on paying for it until its retention ends. The whole object is billed, with its overhead. Never
+    without a price or a horizon, nor where the retention or the usage is unknown."""
+    if price <= 0 or horizon_hours <= 0:
+        return F.lit(False)
     gib = float(1 << 30)
-    saved = F.col("unused_bytes") / gib * unused_price * months
-    cost = F.col("used_bytes") / gib * (egress + write_price)
+    billed = (F.col("physical_size") + overhead) / gib
+    left = F.greatest(F.lit(0.0), (F.unix_micros("min_retention_until") - F.unix_micros(F.lit(now).cast("timestamp"))) / 3_600_000_000.0) / MONTH
+    saved = F.col("unused_bytes") / gib * price * (horizon_hours / MONTH)
+    cost = billed * egress + requests / 1000 * per_1k_requests + billed * price * left
     return F.coalesce((saved > cost) & F.col("min_retention_until").isNotNull(), F.lit(False))
 
 

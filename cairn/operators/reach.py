@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,26 +105,63 @@ def candidate_order(classified: DataFrame, target: int) -> DataFrame:
     return c.select("pack_id", "type", "used_bytes", "waste", *(o.alias(f"o{i}") for i, o in enumerate(order[:3])))
 
 
-def budgeted(candidates: DataFrame, repack_bytes: int, unused_target: int, total_waste: int) -> DataFrame:
-    """Candidates in order until the repack budget is spent or the waste left is below target; a pack too large for
-    what is left of the budget is passed over, and packs with trees ignore the target.
+#: Candidates that are finished on the driver once no more can fit.
+FEW = 50_000
 
-    Passing over makes the choice sequential, so it runs on the slim list of candidates in order; candidates are packs,
-    and their ids and sizes are all that is gathered.
-    """
-    ordered = candidates.withColumn("one", F.lit(1))
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["o0", "o1", "o2", "pack_id"])
-        room, left, picked = repack_bytes, total_waste, []
-        for pack, kind, used, waste in zip(pdf["pack_id"], pdf["type"], pdf["used_bytes"], pdf["waste"], strict=True):
-            if used > room or (left <= unused_target and kind == "data"):
-                continue
-            room, left = room - used, left - waste
-            picked.append((pack, int(used), int(waste)))
-        return pd.DataFrame(picked, columns=["pack_id", "used_bytes", "waste"])
+def _prefix_sums(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """rows with `before`: the sum of `value` over all rows that come first. No task sorts everything: parts of the order
+    are summed, and each starts at the sum of those before it."""
+    parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = sorted(parts.groupBy("_part").agg(F.sum(value).alias("s")).collect())  # a row for each part
+    begin, at = {}, 0
+    for r in sums:
+        begin[r["_part"]], at = at, at + r["s"]
+    starts = rows.sparkSession.createDataFrame(list(begin.items()), "_part int, _begin long")
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(F.broadcast(starts), "_part").withColumn("before", F.col("_begin") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_part", "_begin")
+
+
+def budgeted(candidates: DataFrame, repack_bytes: int, unused_after: int) -> DataFrame:
+    """pack_id, used_bytes, waste of the candidates to repack, taken in their order.
+
+    A candidate is passed over if its used and wasted bytes would bring the sum to the budget or above. Packs of data that
+    are large enough (o1) are also passed over once the waste left in all candidates is below `unused_after`; packs with
+    trees, small ones and those that must be compressed (`must_compress`, if there) are not.
 
-    return ordered.groupBy("one").applyInPandas(choose, "pack_id string, used_bytes long, waste long")
+    Taking goes on in rounds: in each the longest run that fits is found by prefix sums, and candidates too large for
+    what is left then drop out. When FEW are left, the driver finishes them.
+    """
+    order = ["o0", "o1", "o2", "pack_id"]
+    must = F.col("must_compress") if "must_compress" in candidates.columns else F.lit(False)
+    tolerant = (F.col("type") == "data") & F.col("o1") & ~must
+    rest = cut(candidates.select("pack_id", "used_bytes", "waste", *order[:3], (F.col("used_bytes") + F.col("waste")).alias("size"), tolerant.alias("tolerant")))
+    room, left, taken = repack_bytes, rest.agg(F.coalesce(F.sum("waste"), F.lit(0))).first()[0], []
+    schema = "pack_id string, used_bytes long, waste long"
+    while True:
+        rest = cut(rest.filter((F.col("size") < room) & (~F.col("tolerant") | (F.lit(left) >= unused_after))))
+        if rest.count() <= FEW:
+            break
+        summed = cut(_prefix_sums(_prefix_sums(rest, order, "size").withColumnRenamed("before", "b_size"), order, "waste"))
+        stop = (F.col("b_size") + F.col("size") >= room) | (F.col("tolerant") & (left - F.col("before") < unused_after))
+        first = summed.filter(stop).orderBy(*order).limit(1).collect()
+        if not first:
+            taken.append(summed.select("pack_id", "used_bytes", "waste"))
+            rest = rest.filter("false")
+            break
+        run = cut(summed.filter(F.col("b_size") < first[0]["b_size"]).select("pack_id", "used_bytes", "waste", "size"))
+        taken.append(run.drop("size"))
+        room, left = room - first[0]["b_size"], left - first[0]["before"]
+        rest = summed.filter(F.col("b_size") >= first[0]["b_size"]).drop("b_size", "before")
+    picked = []
+    for r in sorted(rest.collect(), key=lambda r: tuple(r[c] for c in order)):  # FEW rows at most
+        if r["size"] < room and not (r["tolerant"] and left < unused_after):
+            room, left = room - r["size"], left - r["waste"]
+            picked.append((r["pack_id"], r["used_bytes"], r["waste"]))
+    out = rest.sparkSession.createDataFrame(picked, schema)
+    for x in taken:
+        out = out.unionByName(x)
+    return out
 
 
 def reference_counts(references: DataFrame) -> DataFrame:
@@ -157,3 +193,42 @@ def scheduler_summary(plan: DataFrame, packs: DataFrame, placements: DataFrame)
     unsatisfied = plan.agg(n.alias("unsatisfied"), F.coalesce(F.sum("missing"), F.lit(0)).cast("long").alias("missing"))
     pending = placements.filter("state = 'pending'").agg(n.alias("pending"))
     return scanned.join(F.broadcast(unsatisfied)).join(F.broadcast(pending))  # one row each
+
+
+def retained(edges: DataFrame, snapshots: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Every key reachable from the trees of snapshots that are not ignored. snapshots: id, tree; ignored: id."""
+    kept = snapshots.join(ignored.select("id"), "id", "left_anti")
+    return closure(edges, kept.select(F.col("tree").alias("key")))
+
+
+def identities(edges: DataFrame, nodes: DataFrame, root: DataFrame, oldest: bool = False) -> DataFrame:
+    """Distinct (fsid, inode, revision) of the nodes under a root; with `oldest`, of each inode the oldest revision known.
+    nodes: key, fsid, inode, revision; root: key."""
+    found = nodes.join(closure(edges, root), "key", "left_semi").select("fsid", "inode", "revision").distinct()
+    if not oldest:
+        return found
+    first = nodes.groupBy("fsid", "inode").agg(F.min("revision").alias("revision"))
+    return found.select("fsid", "inode").distinct().join(first, ["fsid", "inode"])
+
+
+def import_trees(edges: DataFrame, trees: DataFrame, roots: DataFrame, depth: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(root, path, key, level) of what can be read below the roots, and debts (root, path, key, reason) instead of
+    failures: 'unreadable' trees that are not there, 'cycle' where a tree lies below itself, 'too deep' beyond `depth`.
+
+    edges: parent, name, child; trees: key of each readable tree; roots: root. One join a level, written before the next.
+    """
+    readable = trees.select("key", F.lit(True).alias("_r")).distinct()
+    level = roots.select("root", F.lit("").alias("path"), F.col("root").alias("key"), F.lit(0).alias("level"), F.array().cast(f"array<{roots.schema['root'].dataType.simpleString()}>").alias("above"))
+    good, bad, n = None, None, 0
+    while True:
+        reason = F.when(F.array_contains("above", F.col("key")), "cycle").when(F.col("_r").isNull(), "unreadable").when(F.lit(n > depth), "too deep")
+        level = cut(level.join(readable, "key", "left").withColumn("reason", reason))
+        fine = level.filter("reason IS NULL")
+        a, b = fine.select("root", "path", "key", "level"), level.filter("reason IS NOT NULL").select("root", "path", "key", "reason")
+        good, bad = (a, b) if good is None else (good.unionByName(a), bad.unionByName(b))
+        if n > depth or fine.isEmpty():
+            return good, bad
+        n += 1
+        level = fine.join(edges, F.col("key") == F.col("parent")).select(
+            "root", F.concat("path", F.lit("/"), "name").alias("path"), F.col("child").alias("key"), F.lit(n).alias("level"), F.array_append("above", F.col("parent")).alias("above")
+        )

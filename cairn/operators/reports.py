@@ -76,3 +76,24 @@ def other_references(references: DataFrame, uid: int, limit: int) -> DataFrame:
     counts = ranked.groupBy("blob_id").agg(F.count("*").cast("long").alias("sources"))
     first = ranked.filter(F.col("n") <= limit).groupBy("blob_id").agg(F.array_sort(F.collect_list("inode")).alias("first_sources"))
     return counts.join(first, "blob_id")
+
+
+def audit_locations(references: DataFrame, packs: DataFrame, placements: DataFrame, backends: DataFrame, uid: int) -> DataFrame:
+    """Where the blobs that an owner's files refer to lie: each pack that holds one, and each placement of it with its
+    backend. A pack that no backend holds is one row without a backend; deleted placements are no location."""
+    own = references.filter(F.col("uid") == uid).select("blob_id", "pack_id").distinct()
+    there = placements.filter("state <> 'deleted'").select("pack_id", "backend", "state").join(backends.select("backend", "role", "offsite"), "backend", "left")
+    held = packs.select("pack_id", "lifecycle", "min_retention_until")
+    return own.join(held, "pack_id", "left").join(there, "pack_id", "left")
+
+
+def view_drift(stored: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of a stored view that differ from the same view computed afresh from the facts: kind is 'missing',
+    'unexpected' or 'different'. Null group values are values."""
+    measures = [c for c in expected.columns if c not in by]
+    a = stored.select(*by, F.struct(*(F.col(c).cast(expected.schema[c].dataType) for c in measures)).alias("a"))
+    b = expected.select(*(F.col(c).alias(f"_{c}") for c in by), F.struct(*measures).alias("b"))
+    on = [a[c].eqNullSafe(b[f"_{c}"]) for c in by]
+    joined = a.join(b, on, "full_outer")
+    kind = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "unexpected").when(~F.col("a").eqNullSafe(F.col("b")), "different")
+    return joined.withColumn("kind", kind).filter("kind IS NOT NULL").select(*(F.coalesce(c, f"_{c}").alias(c) for c in by), "kind")

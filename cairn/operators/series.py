@@ -57,14 +57,20 @@ def weekly(events: DataFrame) -> DataFrame:
 
 
 def histogram(points: DataFrame, bins: int = 10) -> DataFrame:
-    """Bins of equal whole width, at least 1; the last takes the greatest value; one bin where all are equal."""
+    """bin, from, to, points: bins of equal whole width, at least 1, empty ones too; the last ends at the greatest value
+    and takes it; one bin where all are equal."""
     ends = points.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.greatest(F.lit(1), F.floor((F.col("hi") - F.col("lo")) / bins))
     bin_no = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / F.col("w")), F.lit(bins - 1)))
     rows = points.select("value").join(F.broadcast(ends.withColumn("w", width.cast("long"))))  # one row
-    return rows.select(bin_no.cast("int").alias("bin"), (F.col("lo") + bin_no * F.col("w")).cast("long").alias("from"), "value").groupBy("bin", "from").agg(
-        F.count("*").cast("long").alias("points")
-    )
+    inside = (F.col("hi") == F.col("lo")) | (F.col("value") <= F.when(bin_no == bins - 1, F.col("hi")).otherwise(F.col("lo") + (bin_no + 1) * F.col("w")))
+    counts = rows.filter(inside).groupBy(bin_no.cast("int").alias("bin")).agg(F.count("*").cast("long").alias("points"))
+    grid = ends.filter("lo IS NOT NULL").withColumn("w", width.cast("long"))
+    last = F.when(F.col("hi") == F.col("lo"), 0).otherwise(bins - 1)
+    grid = grid.select("lo", "hi", "w", F.explode(F.sequence(F.lit(0), last)).alias("bin"))
+    upper = F.when(F.col("bin") == last, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * F.col("w"))
+    bounds = grid.select("bin", (F.col("lo") + F.col("bin") * F.col("w")).cast("long").alias("from"), upper.cast("long").alias("to"))
+    return bounds.join(counts, "bin", "left").na.fill(0, ["points"])
 
 
 def forecast(points: DataFrame, allow_incomplete: bool = False) -> DataFrame:

@@ -36,6 +36,8 @@ class SnapshotFilter:
     before: datetime | None = None
     size_min: int | None = None
     size_max: int | None = None
+    added_min: int | None = None
+    added_max: int | None = None
     jq: str | None = None
 
     def condition(self) -> Column:
@@ -61,6 +63,10 @@ class SnapshotFilter:
             out.append(c("size") >= self.size_min)
         if self.size_max is not None:
             out.append(c("size") <= self.size_max)
+        if self.added_min is not None:
+            out.append(c("size_added") >= self.added_min)
+        if self.added_max is not None:
+            out.append(c("size_added") <= self.added_max)
         if self.jq:
             out.append(jq.predicate(self.jq, "json"))
         return reduce(lambda a, b: a & b, out)
@@ -80,8 +86,12 @@ def latest(snapshots: DataFrame, n: int, group: list[str] | None = None) -> Data
 
 
 def nth_latest(snapshots: DataFrame, n: int) -> DataFrame:
-    """The n-th before the newest; an empty result means there are not so many."""
-    return snapshots.orderBy(F.desc("time"), F.desc("id")).offset(n).limit(1)
+    """The n-th before the newest. It is an error if there are not so many."""
+    newest = snapshots.orderBy(F.desc("time"), F.desc("id")).limit(n + 1)
+    found = newest.count()
+    if found <= n:
+        raise ValueError(f"latest~{n} asks for {n + 1} snapshots, there are {found}")
+    return newest.orderBy("time", "id").limit(1)
 
 
 def newest(snapshots: DataFrame, n: int) -> DataFrame:

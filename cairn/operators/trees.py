@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from cairn.functions import globs, numbers, paths
+from cairn.plans.cuts import cut
 
 
-def walk(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """(root, path, key, level) of everything below the roots. edges: parent, name, child. A level is one join; deeper
-    levels than `depth` are an error. Trees must not have cycles."""
+def walk(edges: DataFrame, roots: DataFrame, depth: int = 64, prune: Column | None = None) -> DataFrame:
+    """(root, path, key, level) of everything below the roots. edges: parent, name, child. A level is one join, written
+    before the next; deeper levels than `depth` are an error. Nodes for which `prune` holds (over root, path, key, level)
+    are given, but not what is below them. Trees must not have cycles."""
     level = roots.select("root", F.lit("").alias("path"), F.col("root").alias("key"), F.lit(0).alias("level"))
     out, n = level, 0
     while True:
         n += 1
-        level = (
-            level.join(edges, F.col("key") == F.col("parent"))
+        open_nodes = level if prune is None else level.filter(~F.coalesce(prune, F.lit(False)))
+        level = cut(
+            open_nodes.join(edges, F.col("key") == F.col("parent"))
             .select("root", F.concat("path", F.lit("/"), "name").alias("path"), F.col("child").alias("key"), F.lit(n).alias("level"))
-            .persist()
         )
         if level.isEmpty():
             return out
@@ -170,3 +176,62 @@ def content_id(chunks: DataFrame) -> DataFrame:
     """SHA-256 of the ordered chunk ids of each file."""
     g = chunks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "blob_id"))).alias("c"))
     return g.select("id", F.sha2(F.array_join("c.blob_id", ""), 256).alias("content_id"), F.size("c").cast("long").alias("chunks"))
+
+
+def rewrite_nodes(nodes: DataFrame, drop: Column, **changes: Column) -> DataFrame:
+    """The nodes with changed columns; those for which `drop` holds go, and with a directory all that is below it."""
+    gone = nodes.filter(drop).select("snapshot", F.col("path").alias("top"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    below = nodes.select("snapshot", "path", F.explode(above).alias("top")).join(gone, ["snapshot", "top"], "left_semi").select("snapshot", "path").distinct()
+    return nodes.join(below, ["snapshot", "path"], "left_anti").withColumns(changes)
+
+
+def resolve(edges: DataFrame, root: str | int, path: str) -> DataFrame:
+    """key of what `path` names below a root; a missing component is an error. edges: parent, name, child."""
+    at = root
+    for name in (p for p in path.split("/") if p):
+        found = edges.filter((F.col("parent") == at) & (F.col("name") == name)).select("child").limit(1).collect()
+        if not found:
+            raise ValueError(f"{path!r}: nothing named {name!r}")
+        at = found[0]["child"]
+    return edges.sparkSession.createDataFrame([(at,)], StructType([StructField("key", edges.schema["child"].dataType)]))
+
+
+def content_chunks(texts: DataFrame, key: str, text: str, least: int = 512, average_bits: int = 10, most: int = 8192) -> DataFrame:
+    """key, ordinal, offset, length, sha256: pieces of each text's UTF-8 bytes, cut where the content says so.
+
+    A cut follows a byte where the lowest bits of a hash of the last 64 bytes are zero, never within `least` bytes of the
+    piece's begin, and at `most` bytes at the latest. So an insertion moves only the cuts near it. Null texts have none.
+    """
+
+    @F.pandas_udf("array<struct<ordinal:int,offset:long,length:long,sha256:string>>")
+    def cuts(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else b""
+            ends = chunk_ends(raw, least, average_bits, most)
+            out.append([{"ordinal": i, "offset": a, "length": b - a, "sha256": hashlib.sha256(raw[a:b]).hexdigest()} for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False))])
+        return pd.Series(out, dtype=object)
+
+    return texts.filter(F.col(text).isNotNull()).select(key, F.inline(cuts(text)))
+
+
+#: A number for each byte, drawn from a fixed seed.
+GEAR = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
+
+
+def chunk_ends(raw: bytes, least: int, average_bits: int, most: int) -> list[int]:
+    h, size = GEAR[np.frombuffer(raw, dtype=np.uint8)], 1
+    while size < 64:  # by doubling: the hash of the last 2n bytes from two of n
+        shifted = np.zeros_like(h)
+        shifted[size:] = h[:-size] << np.uint64(size) if len(h) > size else 0
+        h, size = h + shifted, 2 * size
+    marks = np.flatnonzero(h & np.uint64((1 << average_bits) - 1) == 0) + 1
+    out, at = [], 0
+    while at < len(raw):
+        i = int(np.searchsorted(marks, at + least))
+        end = min(int(marks[i]) if i < len(marks) else len(raw), at + most, len(raw))
+        out.append(end)
+        at = end
+    return out

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints into the folder the cluster names in spark.checkpoint.dir; a local one only where it names none."""
+    """Checkpoints into the folder the cluster names in spark.checkpoint.dir; a temporary one only under a local master."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -95,13 +95,16 @@ class StaleError(RuntimeError):
     """The facts lag behind the source and the query does not allow it."""
 
 
-def check_freshness(query: Query, applied: int, head: int, stale_after: int) -> str:
-    """'current', 'lagging' or 'stale'; raises where the query forbids it."""
-    lag = head - applied
-    state = "current" if lag <= 0 else "lagging" if lag <= stale_after else "stale"
-    if (query.require_current and state != "current") or (state == "stale" and not query.allow_stale):
-        raise StaleError(f"facts lag {lag} commits behind")
-    return state
+def check_freshness(query: Query, applied: int, head: int | None) -> str:
+    """'current', 'stale' or 'unknown' (no head to compare with). Any lag is refused unless the query allows it; one that
+    requires current facts needs a head."""
+    if head is None:
+        if query.require_current:
+            raise StaleError("the head of the source is not known")
+        return "unknown"
+    if applied < head and not query.allow_stale:
+        raise StaleError(f"facts are at commit {applied}, the source is at {head}: allow stale facts or catch up")
+    return "stale" if applied < head else "current"
 
 
 class Results:

@@ -39,9 +39,11 @@ def test_reachability_takes_all_edges(spark, data):
         new = {c for p, c in edges if p == at} - seen
         seen |= new
         todo += new
-    assert {r.key for r in run(spark, data, "reachable_from_roots_all_edges")} == seen == {"s10", "s11", "p7", "p14"}
+    for name in ("reachable_from_roots", "reachable_from_roots_all_edges"):
+        assert {r.key for r in run(spark, data, name)} == seen == {"s10", "s11", "p7", "p14"}
     keys = {p for p, _ in edges} | {f"s{i}" for i in range(10, 18)}
-    assert {r.key for r in run(spark, data, "orphan_tree_roots_all_edges")} == keys - {c for _, c in edges} == {"s16", "s17"}
+    for name in ("orphan_tree_roots", "orphan_tree_roots_all_edges"):
+        assert {r.key for r in run(spark, data, name)} == keys - {c for _, c in edges} == {"s16", "s17"}
 
 
 def members():
@@ -69,8 +71,8 @@ def plan(size):
 
 def test_prune_plans_take_all_members(spark, data):
     expected = classified()
-    rows = {r.pack_id: r for r in run(spark, data, "prune_accounts_all_blobs")}
-    assert set(rows) == set(expected)
+    rows = {r.pack_id: r for r in run(spark, data, "prune_accounts")}
+    assert set(rows) == set(expected) and rows == {r.pack_id: r for r in run(spark, data, "prune_accounts_all_blobs")}
     for pack, (blobs, size) in expected.items():
         for s in ("used", "duplicate", "unused"):
             assert rows[pack][f"{s}_blobs"] == blobs.get(s, 0) and rows[pack][f"{s}_bytes"] == size.get(s, 0)
@@ -78,10 +80,12 @@ def test_prune_plans_take_all_members(spark, data):
     assert plans == {pack: plan(size) for pack, (_, size) in expected.items()}
     repack = {(pack, size.get("used", 0), plan(size)[0]) for pack, (_, size) in expected.items() if plan(size)[1] == "repack"}
     assert len(repack) == 2
-    # all of them fit the budget and none reaches the target
-    assert {tuple(r) for r in run(spark, data, "budgeted_repack_selection")} == repack
+    # both fit the budget; they waste less than what may stay, so only small packs and those with trees are taken
+    trees = {f"{x[0]:010}" for x in LINES if x[6] == "A"}
+    assert {tuple(r) for r in run(spark, data, "budgeted_repack_selection")} == {r for r in repack if r[0] in trees or r[1] + r[2] < 50_000}
 
 
 def test_metric_lines_take_all_events(spark, data):
-    assert sorted(tuple(r) for r in run(spark, data, "metric_json_lines_all_events")) == [(i, "requests", 2 * i) for i in range(1, 251)]
+    for name in ("metric_json_lines", "metric_json_lines_all_events"):
+        assert sorted(tuple(r) for r in run(spark, data, name)) == [(i, "requests", 2 * i) for i in range(1, 251)]
     assert tree_queries.all_edges(spark, data).count() == 2 * len({(s, p) for _, _, p, s, *_ in LINES})
