@@ -50,38 +50,37 @@ def blocks_of(w: np.ndarray, bounds: np.ndarray, window: int, anchor: int) -> tu
     return text[new], a - bounds[text[new]], count, g[place[new]].view(np.int64), content.view(np.int64)
 
 
-def parse(blocks: list, window: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def parse(a: np.ndarray, n: np.ndarray, again: np.ndarray, asked: np.ndarray, ref: np.ndarray, shift: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Factors (first word, end) of a document, and the windows at their boundaries that are still to be checked.
 
-    Greedy: from a block that stands elsewhere too, a factor goes on as long as the next block stands at the next place
-    of the same reference document. Blocks with a known anchor whose whole content stands nowhere else hold the
-    boundaries; they are asked for, and so is the first of each kind of block they may partly agree with.
+    Of each block: first window, windows, whether it stands elsewhere too, whether its windows are to be checked,
+    the reference document, and how far the place there is shifted. Greedy: from a block that stands elsewhere too, a
+    factor goes on as long as the next block stands at the next place of the same reference document. Blocks with a
+    known anchor whose whole content stands nowhere else hold the boundaries; they are checked, and so is the first of
+    each kind of block they may partly agree with.
     """
-    factors, last, checks = [], None, []
-    for b in sorted(blocks, key=lambda b: b["a"]):
-        end = b["a"] + b["n"] + window - 1
-        if b["asked"]:
-            checks.append(np.arange(b["a"], b["a"] + b["n"]))
-        if not b["again"]:
-            continue
-        ref = (b["ref"]["id"], b["ref"]["h"], b["ref"]["a"] - b["a"])
-        if last == (ref, b["a"]):
-            factors[-1] = (factors[-1][0], end)
-        else:
-            factors.append((b["a"], end))
-        last = (ref, b["a"] + b["n"])
-    return [f for f in factors if f[1] - f[0] >= window], np.concatenate(checks) if checks else np.empty(0, np.int64)
-
-
-def _finish(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
+    order = np.argsort(a)
+    check = order[asked[order]]
+    count = n[check]
+    checks = np.repeat(a[check] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    x = order[again[order]]
+    if not len(x):
+        return np.empty((0, 2), dtype=np.int64), checks
+    on = (a[x][1:] == (a + n)[x][:-1]) & (ref[x][1:] == ref[x][:-1]) & (shift[x][1:] == shift[x][:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~on)))
+    last = np.concatenate((first[1:], [len(x)])) - 1
+    factors = np.stack((a[x[first]], (a + n)[x[last]] + window - 1), axis=1)
+    return factors[factors[:, 1] - factors[:, 0] >= window], checks
+
+
+def _finish(raw: bytes, spans: np.ndarray) -> tuple[int, int, str]:
     """Words, words removed, and the hash of what is left."""
     own = raw.split()  # bytes.split() cuts at 0x20 and 0x09 to 0x0D
-    if not spans:
+    if not len(spans):
         return len(own), 0, hashlib.sha256(b" ".join(own)).hexdigest()
     edge = np.zeros(len(own) + 1, dtype=np.int64)
-    at = np.asarray(spans, dtype=np.int64)
-    np.add.at(edge, at[:, 0], 1)
-    np.add.at(edge, at[:, 1], -1)
+    np.add.at(edge, spans[:, 0], 1)
+    np.add.at(edge, spans[:, 1], -1)
     keep = np.cumsum(edge[:-1]) == 0
     kept = b" ".join([x for x, k in zip(own, keep.tolist(), strict=True) if k])
     return len(own), int(len(own) - keep.sum()), hashlib.sha256(kept).hexdigest()
@@ -127,28 +126,34 @@ def _dedup(docs: DataFrame, window: int, anchor: int, scratch: Scratch) -> DataF
     # anchors with a block that must be checked: their reference blocks give their windows to be checked against
     asked = index.filter("NOT again").groupBy("g").agg(F.lit(True).alias("asked"))
     index = index.join(asked, "g", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    block = F.struct("a", "n", "again", "ref", (F.col("asked") & (F.col("ref") == F.struct("id", "h", "a"))).alias("asked"))
-    factors = shared.join(index, ["g", "content"]).groupBy("id", "h").agg(F.collect_set(block).alias("blocks"))
+    block = F.struct(
+        "a", "n", "again", (F.col("asked") & (~F.col("again") | (F.col("ref") == F.struct("id", "h", "a")))).alias("asked"),
+        F.xxhash64("ref.id", "ref.h").alias("ref"), (F.col("ref.a") - F.col("a")).alias("shift"),
+    )
+    factors = shared.join(index, ["g", "content"]).groupBy("id", "h").agg(F.collect_set(block).alias("b"))
+    parts = ("a", "n", "again", "asked", "ref", "shift")
+    factors = factors.select("id", "h", *(F.col("b").getField(c).alias(c) for c in parts))
+    types = (np.int64, np.int64, bool, bool, np.int64, np.int64)
     out = "id long, h long, n_words long, n_removed long, kept_sha256 string"
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Finishes documents without windows to check; gives the text, spans and those windows' hashes of the others."""
         for pdf in batches:
             rows = []
-            for doc, h, text, own in zip(pdf["id"], pdf["h"], pdf["text"], pdf["blocks"], strict=True):
+            for doc, h, text, *own in zip(*(pdf[c] for c in ("id", "h", "text", *parts)), strict=True):
                 raw = text.encode()
-                spans, checks = parse(own, window) if own is not None else ([], ())
+                spans, checks = ((), ()) if own[0] is None else parse(*(np.asarray(x, dtype=t) for x, t in zip(own, types, strict=True)), window)
                 if len(checks):
                     w, _ = tk.words([raw], tk.SPACES, False)
                     lanes = (tk.grams(w, window, lane)[checks].view(np.int64) for lane in (0, 1))
-                    rows.append((doc, h, None, None, None, text, [x for s in spans for x in s], checks, *lanes))
+                    rows.append((doc, h, None, None, None, text, spans.ravel(), checks, *lanes))
                 else:
                     rows.append((doc, h, *_finish(raw, spans), None, None, None, None, None))
             names = ["id", "h", "n_words", "n_removed", "kept_sha256", "text", "spans", "at", "x", "y"]
             yield pd.DataFrame(rows, columns=names).astype({"n_words": "Int64", "n_removed": "Int64"})
 
     compared = scratch.write(
-        docs.join(factors, ["id", "h"], "left").select("id", "h", "text", "blocks")
+        docs.join(factors, ["id", "h"], "left").select("id", "h", "text", *parts)
         .mapInPandas(compare, out + ", text string, spans array<int>, at array<int>, x array<long>, y array<long>")
     )
     unsettled = compared.filter("text IS NOT NULL")
@@ -161,7 +166,10 @@ def _dedup(docs: DataFrame, window: int, anchor: int, scratch: Scratch) -> DataF
         for pdf in batches:
             rows = []
             for doc, h, text, spans, more in zip(pdf["id"], pdf["h"], pdf["text"], pdf["spans"], pdf["more"], strict=True):
-                own = [*zip(spans[::2], spans[1::2], strict=True), *((a, a + window) for a in (more if more is not None else ()))]
+                own = np.asarray(spans, dtype=np.int64).reshape(-1, 2)
+                if more is not None:
+                    at = np.asarray(more, dtype=np.int64)
+                    own = np.concatenate((own, np.stack((at, at + window), axis=1)))
                 rows.append((doc, h, *_finish(text.encode(), own)))
             yield pd.DataFrame(rows, columns=["id", "h", "n_words", "n_removed", "kept_sha256"])
 

@@ -372,10 +372,10 @@ def test_substrings(spark, window, anchor):
 
 
 def test_parse_goes_on_at_the_same_reference():
-    block = lambda a, n, again, doc, at: {"a": a, "n": n, "again": again, "asked": not again, "ref": {"id": doc, "h": 0, "a": at}}
-    factors, checks = substrings.parse([block(9, 4, True, 2, 109), block(0, 5, True, 1, 50), block(5, 4, True, 1, 55), block(13, 2, False, 3, 0), block(20, 3, True, 1, 70)], 10)
-    assert factors == [(0, 18), (9, 22), (20, 32)]
-    assert checks.tolist() == [13, 14]
+    blocks = [(9, 4, True, False, 2, 100), (0, 5, True, False, 1, 50), (5, 4, True, True, 1, 50), (13, 2, False, True, 3, 0), (20, 3, True, False, 1, 50)]
+    factors, checks = substrings.parse(*map(np.array, zip(*blocks, strict=True)), 10)
+    assert factors.tolist() == [[0, 18], [9, 22], [20, 32]]
+    assert checks.tolist() == [5, 6, 7, 8, 13, 14]
 
 
 def test_anchors_of_long_texts(monkeypatch):
@@ -413,26 +413,43 @@ def test_licenses(spark):
         None, "", "...", "CC BY cc by", "x CC-by\ny all rights  RESERVED.", "Released under the MIT license\nmore", "Released under MIT",
         "gnu general public license, version 3: this work is licensed under the", "Licensed under the Apache License, Version 2", "ñcc by", "cc byé", "cc by",
         "words " * 3000 + "all rights reserved", "Licensed under CC BY-NC 4.0.", "all rights all rights reserved rights",
+        "// Licensed under the Apache License,\n// Version 2.0", "Released under\n * the MIT\n\n * License", "released " + "x " * 9 + "under the mit license",
+        "released " + "x " * 7 + "under the mit license", "the license " * 2000 + "mit " + "the license " * 2000 + "released under the mit license " * 3,
+        "Permission to use, copy, modify,\nand distribute this software for any\npurpose with or without fee is hereby\ngranted",
     ]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "cc by")]
-    phrases = [(p.split(), x) for p, x in licenses.PHRASES]
-    expected = []
-    for i, t in rows:
-        w = re.findall(ALNUM, fold(t))
-        places = [(a, x) for p, x in phrases for a in range(len(w) - len(p) + 1) if w[a : a + len(p)] == p]
-        found = {}
-        for block in fold(t).split("\n"):
-            own = set(re.findall(ALNUM, block))
-            for name, template in licenses.TEMPLATES:
-                s = set(re.findall(ALNUM, fold(template)))
-                if len(s & own) >= licenses.CONTAINMENT * len(s) - 1e-9:
-                    found[name] = max(found.get(name, 0), len(s & own) / len(s))
-        base = sorted({x for _, x in places})
-        score = max([*found.values(), 1.0 if places else 0.0])
-        at = [a for a, _ in places]
-        expected.append((i, len(w), len(places), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *found})), score))
-    got = [tuple(r) for r in licenses.scan_licenses(documents(spark, rows)).collect()]
-    assert sorted(got, key=key) == sorted(expected, key=key)
+    rng = random.Random(13)
+    vocabulary = ["licensed", "under", "the", "license", "mit", "version", "2", "0", "apache", "x", "y", "rights", "all", "reserved", "released"]
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([4, 9, 30, 200]))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "cc by"), (5, texts[5])]
+
+    def brute(templates):
+        phrases = [(p.split(), x) for p, x in licenses.PHRASES]
+        expected = []
+        for i, t in rows:
+            w = re.findall(ALNUM, fold(t))
+            places = [(a, x) for p, x in phrases for a in range(len(w) - len(p) + 1) if w[a : a + len(p)] == p]
+            found = {}
+            for name, template in templates:
+                own = re.findall(ALNUM, fold(template))
+                for a in range(len(w)):
+                    share = len(set(own) & set(w[a : a + 2 * len(own)])) / len(set(own)) if own and w[a] in own else 0
+                    if share >= licenses.CONTAINMENT - 1e-9:
+                        found[name] = max(found.get(name, 0), share)
+            base = sorted({x for _, x in places})
+            score = max([*found.values(), 1.0 if places else 0.0])
+            at = [a for a, _ in places]
+            expected.append((i, len(w), len(places), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *found})), score))
+        return sorted(expected, key=key)
+
+    docs = documents(spark, rows)
+    expected = brute(licenses.TEMPLATES)
+    assert sorted((tuple(r) for r in licenses.scan_licenses(docs).collect()), key=key) == expected
+    labels = {r[0]: r[6] for r in expected}
+    assert labels[15] == "apache-2.0" and labels[16] == "mit" and labels[20] == "isc" and labels[18] == "mit" and labels[17] == "mit"
+    other = [("one", "x y"), ("one", "rights x"), ("none", "")]
+    table = spark.createDataFrame(other, "label string, text string")
+    assert sorted((tuple(r) for r in licenses.scan_licenses(docs, table).collect()), key=key) == brute(other)
+    assert sorted((tuple(r) for r in licenses.scan_licenses(docs, []).collect()), key=key) == brute([])
     assert licenses.scan_licenses(documents(spark, [])).count() == 0
 
 
