@@ -70,8 +70,9 @@ def _found(docs: DataFrame, templates: list[Template]) -> DataFrame:
     index = spark.createDataFrame(prefixes, "w string, k int, need int")
 
     # a block's words are the document's, so what the document lacks no block has
+    rare = F.lit(sorted({w for w, _, _ in prefixes}))
+    rows = rows.filter(F.arrays_overlap("words", rare))
     own = rows.select("id", "h", F.array_intersect(F.lit(order), "words").alias("own"))
-    own = own.filter(F.arrays_overlap("own", F.lit(sorted({w for w, _, _ in prefixes}))))
     spots = own.select("id", "h", F.size("own").alias("n"), F.posexplode("own").alias("at", "w"))
     # length filter: enough words at all; positional filter: enough words from this one on, which is the rarest shared
     candidates = spots.join(index, "w").filter("n >= need").groupBy("id", "h", "k").agg(F.min(F.struct("at", "n", "need")).alias("x"))
@@ -79,12 +80,11 @@ def _found(docs: DataFrame, templates: list[Template]) -> DataFrame:
     candidates = cut(candidates)
 
     # places of template words in candidate documents; a block of `span` words lies within two neighbouring stretches
-    places = rows.join(candidates.select("id", "h").distinct(), ["id", "h"], "left_semi").select(
-        "id", "h", F.inline(F.filter(F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x["w"].isin(vocabulary)))
-    )
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
+    places = rows.select("id", "h", hits.alias("hits")).join(candidates, ["id", "h"]).select("id", "h", "k", F.inline("hits"))
     words = table.select("k", "label", "span", "need", F.size("set").alias("size"), F.explode("set").alias("w"), F.slice("set", F.lit(1), F.size("set") - F.col("need") + 1).alias("prefix"))
     words = words.withColumn("rare", F.array_contains("prefix", F.col("w"))).drop("prefix")
-    near = places.join(words, "w").join(candidates, ["id", "h", "k"])
+    near = places.join(words, ["k", "w"])
     near = near.withColumn("stretch", F.explode(F.array(F.floor(F.col("p") / F.col("span")), F.floor(F.col("p") / F.col("span")) - 1)))
     blocks = near.groupBy("id", "h", "k", "label", "span", "need", "size", "stretch").agg(F.collect_set(F.struct("p", "w")).alias("x"), F.max("rare").alias("rare"))
     blocks = blocks.filter(F.col("rare") & (F.size(F.array_distinct("x.w")) >= F.col("need")))
