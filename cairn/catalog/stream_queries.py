@@ -2,40 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from cairn import adapters as A
 from cairn.catalog.fact_queries import MEASURES, WITH, facts
+from cairn.operators import facts as ops
 from cairn.operators import metrics, series
-from cairn.plans.jobs import Job
+from cairn.plans import jobs
 from cairn.plans.query import Query
 from cairn.registry import query
-from cairn.sources import repository, sinks
-from cairn.sources.generations import Generations
+from cairn.sources import layers, repository, sinks
 from cairn.streaming import catchup, rollup
 
 
-def folder(spark) -> str:
-    """A new folder in the shared checkpoint directory; a temporary one only under a local master that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.gettempdir()
-    return f"{root}/cairn-{uuid.uuid4().hex}"
-
-
 def event_schema(spark, d):
     return A.table(spark, d, "events").schema
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts::TIMESTAMP, TIMESTAMP '2000-01-01'))::BIGINT AS start_us, event_type, count(*)::BIGINT AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL")
 def stream_tumbling_windows(spark, d):
-    at = folder(spark)
+    at = A.folder(spark)
     stream = rollup.windowed_counts(rollup.read_events(spark, f"{d}/events.parque[t]", event_schema(spark, d)), "6 hours")
     out = rollup.run_to_table(spark, stream, f"{at}/out", f"{at}/checkpoint")
     return out.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "cents")
@@ -44,7 +32,7 @@ def stream_tumbling_windows(spark, d):
 @query("""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP, TIMESTAMP '2000-01-01') - to_hours(k))::BIGINT AS start_us, event_type, count(*)::BIGINT AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents
 FROM events, (SELECT unnest(range(0, 3))::INTEGER AS k) GROUP BY ALL""")
 def stream_sliding_windows(spark, d):
-    at = folder(spark)
+    at = A.folder(spark)
     stream = rollup.windowed_counts(rollup.read_events(spark, f"{d}/events.parque[t]", event_schema(spark, d)), "3 hours", "1 hour")
     out = rollup.run_to_table(spark, stream, f"{at}/out", f"{at}/checkpoint")
     return out.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "cents")
@@ -79,19 +67,18 @@ RESIDENCY = "CASE WHEN state = 'deleted' THEN CASE WHEN refs > 0 THEN 'archive-o
 @query(A.with_sql(STATE) + f"SELECT inode, uid, size, refs, {RESIDENCY} FROM final")
 def stream_catch_up_in_batches(spark, d):
     """Four files of deltas, one micro-batch each: the state must be that of all deltas at once."""
-    at = folder(spark)
+    at = A.folder(spark)
     all_deltas = deltas(spark, d)
     top = all_deltas.agg(F.max("commit")).first()[0] or 0
     for k in range(4):  # files in commit order
         all_deltas.filter((F.col("commit") * 4 >= top * k) & (F.col("commit") * 4 < top * (k + 1) + 4 * (k == 3))).coalesce(1).write.mode("append").parquet(f"{at}/deltas")
-    out = Generations(spark, f"{at}/state")
-    catchup.catch_up(spark, f"{at}/deltas", out, f"{at}/checkpoint")
-    return out.read().select("inode", "uid", "size", "refs", catchup.residency(F.col("state"), F.col("refs")).alias("residency"))
+    catchup.catch_up(spark, f"{at}/deltas", f"{at}/state", f"{at}/checkpoint")
+    return catchup.read(spark, f"{at}/state").select("inode", "uid", "size", "refs", catchup.residency(F.col("state"), F.col("refs")).alias("residency"))
 
 
 @query(A.with_sql(STATE) + f"SELECT inode, uid, size, refs, {RESIDENCY} FROM final")
 def deltas_applied_at_once(spark, d):
-    out = catchup.apply_deltas(catchup.empty_state(spark), deltas(spark, d))
+    out = catchup.current(catchup.changes(deltas(spark, d)))
     return out.select("inode", "uid", "size", "refs", catchup.residency(F.col("state"), F.col("refs")).alias("residency"))
 
 
@@ -103,13 +90,13 @@ def signed_view_changes(spark, d):
 
 @query("SELECT o_orderkey, (CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 1000000 ELSE o_custkey END)::BIGINT AS owner FROM orders WHERE o_orderkey % 7 <> 0")
 def layered_generations(spark, d):
-    """A generation, a layer of changed rows and a layer of deletions, read as one table."""
-    g = Generations(spark, folder(spark))
+    """A whole table, a layer of changed rows and a layer of deletions, read as one table."""
+    at = A.folder(spark)
     o = A.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("owner"))
-    g.publish(o)
-    g.publish_layer(o.filter("o_orderkey % 5 = 0").select("o_orderkey", (F.col("owner") + 1_000_000).alias("owner"), F.lit(False).alias("deleted")), ["o_orderkey"])
-    g.publish_layer(o.filter("o_orderkey % 7 = 0").withColumn("deleted", F.lit(True)), ["o_orderkey"])
-    return g.read()
+    layers.add(o, at, 0)
+    layers.add(o.filter("o_orderkey % 5 = 0").select("o_orderkey", (F.col("owner") + 1_000_000).alias("owner")), at, 1)
+    layers.add(o.filter("o_orderkey % 7 = 0").withColumn("deleted", F.lit(True)), at, 2)
+    return layers.read(spark, at, ["o_orderkey"])
 
 
 @query(A.with_sql(A.PACKS) + "SELECT pack_id, ((row_number() OVER (ORDER BY pack_id) - 1) // 1000)::BIGINT AS batch FROM packs WHERE lifecycle IN ('export-pending', 'delete-pending')")
@@ -119,7 +106,7 @@ def export_batches(spark, d):
 
 @query(A.with_sql(A.PACKS) + "SELECT pack_id, lifecycle FROM packs WHERE lifecycle = 'export-pending'")
 def export_round_trip(spark, d):
-    at = folder(spark)
+    at = A.folder(spark)
     sinks.export(sinks.select_for_export(A.packs(spark, d), pending_only=True).select("pack_id", "lifecycle"), at, per_file=500)
     return spark.read.schema("pack_id string, lifecycle string").json(f"{at}/*").select("pack_id", "lifecycle")
 
@@ -127,11 +114,13 @@ def export_round_trip(spark, d):
 @query(A.with_sql(A.BLOBS) + "SELECT pack_id, count(*)::BIGINT AS blob_count, sum(length)::BIGINT AS payload_size FROM (SELECT pack_id, blob_id, min(length) AS length FROM blob_locations GROUP BY ALL) WHERE pack_id::BIGINT % 4 <> 0 GROUP BY pack_id")
 def index_import(spark, d):
     """Index files written as JSON, read back, merged and imported; packs imported before take no part."""
-    at = folder(spark)
+    at = A.folder(spark)
     b = A.blob_locations(spark, d)
     blobs = F.collect_list(F.struct(F.col("blob_id").cast("string").alias("id"), "type", F.lit(0).cast("long").alias("offset"), "length"))
-    packs = b.groupBy("pack_id").agg(blobs.alias("blobs")).select(F.pmod(F.hash("pack_id"), F.lit(8)).alias("file"), F.struct(F.col("pack_id").alias("id"), "blobs").alias("p"))
-    packs.groupBy("file").agg(F.collect_list("p").alias("packs")).select("packs").repartition(4).write.option("maxRecordsPerFile", 1).json(f"{at}/index")
+    packs = b.groupBy("pack_id").agg(blobs.alias("blobs")).select("pack_id", F.struct(F.col("pack_id").alias("id"), "blobs").alias("p"))
+    files = max(1, b.agg(F.approx_count_distinct("pack_id")).first()[0] // 500)  # about 500 packs in a file, however many there are
+    index = packs.groupBy(F.pmod(F.xxhash64("pack_id"), F.lit(files)).alias("file")).agg(F.collect_list("p").alias("packs"))
+    index.select("packs").write.option("maxRecordsPerFile", 1).json(f"{at}/index")
     done = b.filter("CAST(pack_id AS BIGINT) % 4 = 0").select("pack_id")
     return repository.import_packs(repository.merged_index(repository.index_files(spark, f"{at}/index")), done)
 
@@ -139,10 +128,22 @@ def index_import(spark, d):
 @query(WITH + f"SELECT svm, {MEASURES} FROM facts WHERE identity_continuity <> 'unknown' GROUP BY svm")
 def job_resumed_by_segment(spark, d):
     f = facts(spark, d).withColumn("segment", (F.col("inode") % 6).cast("long"))
-    root = folder(spark)
+    at, q = A.folder(spark), Query(group_by=("svm",))
     for n in (2, 1, None):
-        Job(spark, root, Query(group_by=("svm",)), 1).run(f, n)
-    return Job(spark, root, Query(group_by=("svm",)), 1).result()
+        jobs.resume(f, jobs.partial_groups(q), at, n)
+    return jobs.result(spark, at, q)
+
+
+@query(WITH + "SELECT * EXCLUDE (created_at), epoch_us(created_at)::BIGINT AS created_us FROM facts")
+def facts_rebuilt_in_steps(spark, d):
+    """The fact table rebuilt from revisions, a few segments in each run."""
+    at = A.folder(spark)
+    r = A.revisions(spark, d).withColumn("segment", (F.col("inode") % 6).cast("long"))
+    build = lambda part: ops.make_facts(part).withColumn("segment", (F.col("inode") % 6).cast("long"))
+    for n in (4, None):
+        jobs.resume(r, build, at, n)
+    out = jobs.built(spark, at, "segment long").drop("segment")
+    return out.select(*(c for c in out.columns if c != "created_at"), F.unix_micros("created_at").alias("created_us"))
 
 
 @query("SELECT 'm' || (user_id % 20) AS series, event_id::BIGINT AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20, floor(epoch(ts))::BIGINT // 900 ORDER BY ts, event_id) = 1")
@@ -151,18 +152,24 @@ def thinned_samples(spark, d):
     return rollup.thin(s, 900, 1_000_000_000).select("series", "seq")
 
 
+@query("""WITH s AS (SELECT 'm' || (user_id % 20) AS series, event_id::BIGINT AS seq, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20, floor(epoch(ts))::BIGINT // 15 ORDER BY ts, event_id) = 1)
+SELECT series, seq FROM s QUALIFY row_number() OVER (PARTITION BY series ORDER BY ts DESC, seq DESC) <= 62""")
+def thinned_samples_in_a_ring(spark, d):
+    """A sample each 15 seconds at most, and the newest 62 of a series."""
+    s = A.table(spark, d, "events").select(F.concat(F.lit("m"), (F.col("user_id") % 20).cast("string")).alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("seq"))
+    return rollup.thin(s, 15, 62).select("series", "seq")
+
+
 @query(A.with_sql(A.EVENTS) + "SELECT backend, pack_type, epoch_us(date_trunc('day', ts)::TIMESTAMP)::BIGINT AS start_us, count(*)::BIGINT AS events_observed FROM pack_events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY ALL")
 def roll_up_is_idempotent(spark, d):
     """Buckets stored, half of the events repeated: only days at or after the floor change, and a second run nothing."""
-    g = Generations(spark, folder(spark))
+    at = A.folder(spark)
     e = A.pack_events(spark, d)
-    g.publish(series.buckets(e.unionByName(e), ["day"]))
-    new = rollup.roll_up(spark, g, e, "day", datetime(2024, 1, 20))
-    again = rollup.roll_up(spark, g, e, "day", datetime(2024, 1, 20))
-    if not again.isEmpty():
+    layers.add(series.buckets(e.unionByName(e), ["day"]), at, 0)
+    rollup.roll_up(spark, at, e, "day", datetime(2024, 1, 20))
+    if not rollup.roll_up(spark, at, e, "day", datetime(2024, 1, 20)).isEmpty():
         raise AssertionError("a second roll-up changed buckets")
-    rows = g.read().filter(F.col("start") >= F.lit(datetime(2024, 1, 20)))
-    del new
+    rows = layers.read(spark, at, series.KEY).filter(F.col("start") >= F.lit(datetime(2024, 1, 20)))
     return rows.select("backend", "pack_type", F.unix_micros("start").alias("start_us"), "events_observed")
 
 
@@ -174,7 +181,7 @@ def listing_as_text(spark, d):
 
 @query("SELECT event_id, 'requests' AS name, event_id * 2 AS value FROM events")
 def metric_json_lines(spark, d):
-    at = folder(spark)
+    at = A.folder(spark)
     e = A.table(spark, d, "events").select("event_id", F.lit("requests").alias("name"), (F.col("event_id") * 2).alias("value"))
     sinks.append_lines(e, at)
     return spark.read.schema(e.schema).json(at)
@@ -182,7 +189,7 @@ def metric_json_lines(spark, d):
 
 @query("SELECT event_id, 'requests' AS name, event_id * 2 AS value FROM events")
 def metric_json_lines_all_events(spark, d):
-    at = folder(spark)
+    at = A.folder(spark)
     e = A.table(spark, d, "events").select("event_id", F.lit("requests").alias("name"), (F.col("event_id") * 2).alias("value"))
     sinks.append_lines(e, at)
     return spark.read.schema(e.schema).json(at)
@@ -190,7 +197,7 @@ def metric_json_lines_all_events(spark, d):
 
 @query(A.with_sql(A.EVENTS) + "SELECT seq, type FROM pack_events WHERE seq % 10 <> 0 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'")
 def event_log_with_corrupt_rows(spark, d):
-    at = folder(spark)
+    at = A.folder(spark)
     e = A.pack_events(spark, d)
     line = F.when(F.col("seq") % 10 == 0, F.lit('{"ts": broken')).otherwise(F.to_json(F.struct(*e.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}))
     e.select(line.alias("value")).write.text(at)

@@ -34,8 +34,10 @@ def snapshot_filter_exact_paths(spark, d):
 
 @query(S + "SELECT id FROM snapshots WHERE (size > 200000 AND regexp_matches(hostname, '^host[12]$')) OR (label = '5-LOW' AND len(tags) = 2 AND delete_mode = 'never')")
 def snapshot_filter_by_expression(spark, d):
-    e = '(.size > 200000 and .hostname | test("^host[12]$")) or (.label == "5-LOW" and .tags | length == 2 and .delete_mode == "never")'
-    return snapshots.SnapshotFilter(jq=e).apply(A.snapshots(spark, d)).select("id")
+    get = "try_variant_get(doc, '$.{}', '{}')".format
+    big = f"{get('size', 'long')} > 200000 AND {get('hostname', 'string')} RLIKE '^host[12]$'"
+    low = f"{get('label', 'string')} = '5-LOW' AND size({get('tags', 'array<string>')}) = 2 AND {get('delete_mode', 'string')} = 'never'"
+    return snapshots.SnapshotFilter(where=f"({big}) OR ({low})").apply(A.snapshots(spark, d)).select("id")
 
 
 RANKED = "row_number() OVER (PARTITION BY hostname, array_to_string(list_sort(coalesce(paths, [])), chr(1)) ORDER BY time DESC, id DESC) AS n"

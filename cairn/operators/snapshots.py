@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions import dates, jq
+from cairn.functions import dates
 
 
 def same_set(a: Column, b: Column) -> Column:
@@ -25,7 +25,8 @@ def has_all(have: Column, want: Column) -> Column:
 @dataclass(frozen=True)
 class SnapshotFilter:
     """tags is a list of lists: any whose tags are all there; an empty list or tag fits untagged snapshots. Times are
-    strict, sizes inclusive."""
+    strict, sizes inclusive. where is a Spark SQL predicate over the snapshot's columns and `doc`, the snapshot's JSON as
+    a VARIANT (for try_variant_get); a snapshot for which it gives null does not fit."""
 
     hosts: tuple[str, ...] = ()
     tags: tuple[tuple[str, ...], ...] = ()
@@ -38,7 +39,7 @@ class SnapshotFilter:
     size_max: int | None = None
     added_min: int | None = None
     added_max: int | None = None
-    jq: str | None = None
+    where: str | None = None
 
     def condition(self) -> Column:
         c, out = F.col, [F.lit(True)]
@@ -67,15 +68,15 @@ class SnapshotFilter:
             out.append(c("size_added") >= self.added_min)
         if self.added_max is not None:
             out.append(c("size_added") <= self.added_max)
-        if self.jq:
-            out.append(jq.predicate(self.jq, "json"))
+        if self.where:
+            out.append(F.coalesce(F.expr(self.where).cast("boolean"), F.lit(False)))
         return reduce(lambda a, b: a & b, out)
 
     def apply(self, snapshots: DataFrame) -> DataFrame:
-        if self.jq:
-            snapshots = snapshots.withColumn("json", F.to_json(F.struct(*snapshots.columns)))
-        out = snapshots.filter(self.condition())
-        return out.drop("json") if self.jq else out
+        if not self.where:
+            return snapshots.filter(self.condition())
+        seen = snapshots.withColumn("doc", F.parse_json(F.to_json(F.struct(*snapshots.columns))))
+        return seen.filter(self.condition()).drop("doc")
 
 
 def latest(snapshots: DataFrame, n: int, group: list[str] | None = None) -> DataFrame:

@@ -1 +1 @@
-"""Typed queries, their canonical form, freshness, cached results and views."""
+"""Typed queries, their canonical form, freshness, saved views; resumable jobs."""

@@ -1,4 +1,4 @@
-"""Fact queries: predicates and grouping, their canonical form, and what can answer them."""
+"""Fact queries: predicates and grouping, their canonical form, freshness, and saved views."""
 
 from __future__ import annotations
 
@@ -107,45 +107,14 @@ def check_freshness(query: Query, applied: int, head: int | None) -> str:
     return "stale" if applied < head else "current"
 
 
-class Results:
-    """Cached results and views of one version of the facts.
+def save_view(query: Query, facts: DataFrame, path: str) -> DataFrame:
+    """Writes the groups of a query as a table that coarser queries can be answered from."""
+    query.run(facts).write.mode("overwrite").parquet(path)
+    return facts.sparkSession.read.parquet(path)
 
-    A query asked `promote_after` times keeps its result as a view. An equal query gets the view; a query with the same
-    predicates and fewer dimensions rolls up the smallest view that has them. The least recently used view goes when
-    there are more than `capacity`. A new version forgets everything.
-    """
 
-    def __init__(self, promote_after: int = 2, capacity: int = 16):
-        self.promote_after, self.capacity = promote_after, capacity
-        self.version: object = None
-        self.heat: dict[str, int] = {}
-        self.views: dict[str, tuple[Query, DataFrame]] = {}
-
-    def answer(self, query: Query, facts: DataFrame, version: object) -> tuple[DataFrame, str]:
-        query.validate()
-        if version != self.version:
-            self.clear()
-            self.version = version
-        key = query.key(version)
-        if key in self.views:
-            self.views[key] = self.views.pop(key)  # most recent last
-            return self.views[key][1].select(*query.group_by, "files", "logical_bytes", "unknown_creation"), "cached"
-        fits = [(len(q.group_by), k) for k, (q, _) in self.views.items() if q.predicates() == query.predicates() and set(query.group_by) < set(q.group_by)]
-        if fits:
-            _, k = min(fits)
-            self.views[k] = self.views.pop(k)
-            return ops.roll_up(self.views[k][1], list(query.group_by)), "rolled up"
-        out = query.run(facts)
-        self.heat[key] = self.heat.get(key, 0) + 1
-        if self.heat[key] >= self.promote_after:
-            out = out.persist()
-            self.views[key] = (query, out)
-            while len(self.views) > self.capacity:
-                self.views.pop(next(iter(self.views)))[1].unpersist()
-        return out, "scanned"
-
-    def clear(self) -> None:
-        for _, df in self.views.values():
-            df.unpersist()
-        self.views.clear()
-        self.heat.clear()
+def from_view(query: Query, saved: Query, view: DataFrame) -> DataFrame:
+    """The answer from a saved view with the same predicates and all of the query's dimensions; others are refused."""
+    if saved.predicates() != query.validate().predicates() or not set(query.group_by) <= set(saved.group_by):
+        raise ValueError(f"the view of {saved.canonical()} does not answer {query.canonical()}")
+    return ops.roll_up(view, list(query.group_by))

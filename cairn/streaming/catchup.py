@@ -1,15 +1,13 @@
-"""Incremental facts: ordered deltas applied to the state of each identity, in micro-batches."""
+"""Incremental facts: a change feed applied in micro-batches, each of which writes only what it changes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cairn.sources.generations import Generations
+from cairn.sources.layers import stored
 
 DELTA = "commit long, kind string, inode long, uid long, size long, state string, ref_op string, refs long"
-STATE = ["inode", "uid", "size", "state", "refs", "set_commit"]
 
 
 def residency(state: F.Column, refs: F.Column) -> F.Column:
@@ -17,53 +15,97 @@ def residency(state: F.Column, refs: F.Column) -> F.Column:
     return F.when(state == "deleted", F.when(refs > 0, "archive-only").otherwise("expired")).otherwise(F.coalesce(state, F.lit("unknown")))
 
 
-def apply_deltas(state: DataFrame, deltas: DataFrame) -> DataFrame:
-    """State of each inode after the deltas: create and classify set owner and size, state sets the source state, refs
-    set, raise or lower the retained references. References below zero are an error."""
-    last = lambda c, cond: F.max_by(c, F.when(cond, F.col("commit")))
-    is_set = (F.col("kind") == "refs") & (F.col("ref_op") == "set")
-    d = deltas.withColumn("_set", F.max(F.when(is_set, F.col("commit"))).over(Window.partitionBy("inode")))
-    owner, patch = F.col("kind").isin("create", "classify"), F.col("kind") == "state"
-    step = F.when(F.col("ref_op") == "inc", F.col("refs")).when(F.col("ref_op") == "dec", -F.col("refs"))
-    later = (F.col("kind") == "refs") & (F.col("_set").isNull() | (F.col("commit") > F.col("_set")))
-    new = d.groupBy("inode").agg(
-        F.bool_or(owner).alias("n_owner"), last("uid", owner).alias("n_uid"), last("size", owner).alias("n_size"), last("state", patch).alias("n_state"),
-        F.max("_set").alias("n_set"), last("refs", is_set).alias("n_base"), F.coalesce(F.sum(F.when(later, step)), F.lit(0)).alias("n_step"),
-    )
-    joined = state.join(new, "inode", "full_outer")
-    refs = F.when(F.col("n_set").isNotNull(), F.col("n_base")).otherwise(F.coalesce("refs", F.lit(0))) + F.coalesce("n_step", F.lit(0))
-    return joined.select(
-        "inode",
-        F.when(F.col("n_owner"), F.col("n_uid")).otherwise(F.col("uid")).alias("uid"),
-        F.when(F.col("n_owner"), F.col("n_size")).otherwise(F.col("size")).alias("size"),
-        F.coalesce("n_state", "state").alias("state"),
-        F.when(refs < 0, F.raise_error(F.lit("references below zero")).cast("long")).otherwise(refs).alias("refs"),
-        F.coalesce("n_set", "set_commit").alias("set_commit"),
+def changes(deltas: DataFrame) -> DataFrame:
+    """One row for each inode in the deltas: the last owner and size (create, classify), the last source state, the
+    last set of references, the steps (inc, dec) after it, and the last commit. Sums and maxima only, so that Spark
+    combines an inode with very many deltas before its shuffle."""
+    kind, op = F.col("kind"), F.col("ref_op")
+    is_set = (kind == "refs") & (op == "set")
+    sets = deltas.filter(is_set).groupBy(F.col("inode").alias("_i")).agg(F.max("commit").alias("_set"))
+    step = F.when(op == "inc", F.col("refs")).when(op == "dec", -F.col("refs"))
+    later = (kind == "refs") & (F.col("_set").isNull() | (F.col("commit") > F.col("_set")))
+    last = lambda cond, *c: F.max(F.when(cond, F.struct("commit", *c)))
+    return deltas.join(sets, F.col("inode") == F.col("_i"), "left").groupBy("inode").agg(
+        last(kind.isin("create", "classify"), "uid", "size").alias("owner"),
+        last(kind == "state", "state").alias("source"),
+        last(is_set, F.col("refs").alias("base")).alias("base"),
+        F.coalesce(F.sum(F.when(later, step)), F.lit(0)).alias("step"),
+        F.max("commit").alias("upto"),
     )
 
 
-def empty_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "inode long, uid long, size long, state string, refs long, set_commit long")
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows of `changes` from batches that followed each other in commit order, as if the batches had been one."""
+    top = rows.groupBy("inode").agg(
+        F.max("owner").alias("owner"), F.max("source").alias("source"), F.max("base").alias("base"),
+        F.collect_list(F.struct("upto", "base", "step")).alias("parts"), F.max("upto").alias("upto"),
+    )
+    counts = lambda p: F.col("base").isNull() | (p["upto"] > F.col("base.commit")) | F.coalesce(p["base"]["commit"] == F.col("base.commit"), F.lit(False))
+    step = F.aggregate(F.filter("parts", counts), F.lit(0).cast("long"), lambda a, p: a + p["step"])
+    return top.select("inode", "owner", "source", "base", step.alias("step"), "upto")
+
+
+def current(rows: DataFrame) -> DataFrame:
+    """inode, uid, size, state, refs and the commit that last set the references. References below zero are an error."""
+    refs = F.coalesce(F.col("base.base"), F.lit(0)) + F.col("step")
+    sure = F.when(refs < 0, F.raise_error(F.lit("references below zero")).cast("long")).otherwise(refs)
+    return rows.select("inode", "owner.uid", "owner.size", F.col("source.state").alias("state"), sure.alias("refs"), F.col("base.commit").alias("set_commit"))
+
+
+def _marks(spark: SparkSession, path: str) -> DataFrame:
+    return stored(spark, f"{path}/marks", "upto long, after long")
+
+
+def watermark(spark: SparkSession, path: str) -> int:
+    """The highest commit that is wholly applied; -1 before any."""
+    return _marks(spark, path).agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+
 
+def layers(spark: SparkSession, path: str) -> DataFrame:
+    """What the finished batches changed. A batch counts once its mark is written, after its rows."""
+    return spark.read.parquet(f"{path}/changes").join(_marks(spark, path).select("after"), "after", "left_semi").drop("after")
 
-def catch_up(spark: SparkSession, deltas: str, out: Generations, checkpoint: str, files_per_batch: int = 1) -> int:
-    """Applies all deltas that are there, a generation for each batch. A batch already applied is passed over, so a
-    repeated batch changes nothing; a batch older than the watermark is an error. Returns the latest watermark."""
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The present state of each inode."""
+    return current(merged(layers(spark, path)))
+
+
+def _write(rows: DataFrame, path: str, after: int) -> int:
+    """The rows of a batch under the watermark they follow, then its mark; returns the new watermark."""
+    seen = Observation()
+    rows.observe(seen, F.max("upto").alias("upto")).write.mode("overwrite").parquet(f"{path}/changes/after={after}")
+    upto = seen.get["upto"]
+    if upto is None:
+        return after
+    rows.sparkSession.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/after={after}")
+    return upto
+
+
+def catch_up(spark: SparkSession, deltas: str, path: str, checkpoint: str, files_per_batch: int = 1) -> int:
+    """Applies all deltas that are there in micro-batches; returns the watermark.
+
+    A batch writes the rows of the inodes it changes and reads nothing of the state but the watermark, so its work grows
+    with the batch alone. Commits up to the watermark are passed over. A batch that Spark repeats replaces its rows if it
+    failed before its mark, and has none left to apply if it failed after; so a lost checkpoint costs time, not rows.
+    """
+
+    mark = watermark(spark, path)
 
     def one(batch: DataFrame, _: int) -> None:
-        lo, hi = batch.agg(F.min("commit"), F.max("commit")).first()
-        mark = out.watermark()
-        if hi is None or hi <= mark:
-            return
-        if lo <= mark:
-            batch = batch.filter(F.col("commit") > mark)
-        state = out.read() if out.latest() is not None else empty_state(spark)
-        out.publish(apply_deltas(state, batch), hi)
+        nonlocal mark
+        mark = _write(changes(batch.filter(F.col("commit") > mark)), path, mark)
 
     stream = spark.readStream.schema(DELTA).option("maxFilesPerTrigger", files_per_batch).parquet(deltas)
     q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return out.watermark()
+    return mark
+
+
+def fold(spark: SparkSession, path: str, into: str) -> None:
+    """Writes one row for each inode to a new folder, where the same stream can go on: keeps reading cheap after very
+    many batches. The old folder stays as it is for those who read it."""
+    _write(merged(layers(spark, path)), into, -2)
 
 
 def view_changes(old: DataFrame, new: DataFrame, by: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import series
-from cairn.sources.generations import Generations
+from cairn.sources import layers
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -20,31 +20,32 @@ def windowed_counts(events: DataFrame, window: str, slide: str | None = None, la
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").cast("long").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs over what is there and gives the complete result."""
+def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...] = ("w", "event_type")) -> DataFrame:
+    """Runs over what is there; gives the newest row of each key.
 
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    q = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Update mode: a batch writes the groups it changed as a layer, and groups that the watermark has passed leave the
+    state. A repeated batch replaces its own layer.
+    """
+    q = (
+        stream.writeStream.outputMode("update").foreachBatch(lambda batch, n: layers.add(batch, path, n))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/batch={q.lastProgress['batchId']}")
+    return layers.read(spark, path, list(key))
 
 
-def roll_up(spark: SparkSession, stored: Generations, events: DataFrame, granularity: str, raw_floor) -> DataFrame:
-    """Publishes the buckets with those that changed, and returns these; nothing is published if none did.
+def roll_up(spark: SparkSession, path: str, events: DataFrame, granularity: str, raw_floor) -> DataFrame:
+    """Adds the buckets that changed to those at the path as a layer, and returns them; adds nothing if none did.
 
     Buckets before the floor, whose raw events may be gone, are left as they are, so running again changes nothing.
     """
     fresh = series.buckets(events.filter(F.col("ts") >= F.lit(raw_floor)), [granularity])
-    if stored.latest() is None:
-        stored.publish(fresh)
+    n = layers.newest(spark, path)
+    if n < 0:
+        layers.add(fresh, path, 0)
         return fresh
-    old = stored.read()
-    new = series.changed(old, fresh)
-    if not new.isEmpty():
-        stored.publish(old.join(new.select(*series.KEY), series.KEY, "left_anti").unionByName(new))
-    return new
+    layers.add(series.changed(layers.read(spark, path, series.KEY), fresh), path, n + 1)
+    return spark.read.parquet(f"{path}/layer={n + 1}").drop("deleted")
 
 
 def thin(samples: DataFrame, every: int, keep: int) -> DataFrame:
