@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn import adapters as A
 from cairn.functions import numbers, paths
-from cairn.operators import objects, observed
+from cairn.operators import objects, observed, trees
 from cairn.registry import query
 
 N, B = A.with_sql(A.NODES), A.with_sql(A.BLOBS)
@@ -66,6 +66,59 @@ def stored_files_used_again(spark, d):
     return observed.reuse_decisions(n.filter("snapshot = 'b'"), n.filter("snapshot = 'a'"), F.col("inode") % 4 != 0)
 
 
+@query(
+    N + f""", a AS (SELECT * FROM nodes WHERE snapshot = 'b'), b AS (SELECT * FROM nodes WHERE snapshot = 'a')
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'gone' WHEN a.size % 4 <> 0 AND {SAME} THEN 'reuse' ELSE 'read' END AS decision FROM a FULL JOIN b ON a.path = b.path"""
+)
+def captured_crawl_replayed(spark, d):
+    """A crawl captured with the stats of nodes and parents, written, read back and replayed against what is stored."""
+    n = A.nodes(spark, d).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
+    for c in ("mtime", "ctime", "uid", "gid"):
+        n = n.withColumn(c, F.lit(None).cast("long"))
+    crawl, known = n.filter("snapshot = 'b'"), n.filter("snapshot = 'a'")
+    folders = crawl.select("parent").distinct().select(F.col("parent").alias("path"), *(F.lit(None).cast("long").alias(c) for c in observed.STAT))
+    observations, errors = observed.capture(crawl, crawl.select("path", *observed.STAT).unionByName(folders))
+    if not errors.isEmpty():
+        raise AssertionError("nodes without a stat")
+    at = A.folder(spark)
+    observations.write.parquet(at)
+    root = known.select("parent").first()["parent"]
+    return observed.replay(spark.read.parquet(at), root, known, F.col("size") % 4 != 0)
+
+
+@query(
+    A.with_sql(BIND) + """, last AS (SELECT fsid, inode, arg_max(state, generation) AS state, max(generation) AS g FROM bindings GROUP BY 1, 2),
+seen AS (SELECT (l_orderkey % 2 + 1)::INTEGER AS fsid, (l_orderkey // 2 + l_linenumber % 2 * 7)::BIGINT AS inode, max(l_orderkey)::BIGINT + 10 AS revision FROM lineitem GROUP BY 1, 2)
+SELECT fsid, inode, CASE WHEN state = 'live' THEN g ELSE revision END AS generation, CASE WHEN state = 'live' THEN 'source-generation' WHEN state = 'deleted' THEN 'proven' ELSE 'unknown' END AS continuity,
+  state IS DISTINCT FROM 'live' AS is_new FROM seen LEFT JOIN last USING (fsid, inode)"""
+)
+def generations_of_observed_inodes(spark, d):
+    k = F.col("l_orderkey")
+    inode = (F.floor(k / 2) + F.col("l_linenumber") % 2 * 7).cast("long")
+    seen = A.table(spark, d, "lineitem").groupBy((k % 2 + 1).cast("int").alias("fsid"), inode.alias("inode")).agg((F.max("l_orderkey").cast("long") + 10).alias("revision"))
+    return observed.observed_generations(seen, bindings(spark, d))
+
+
+@query(
+    """WITH c AS (SELECT n_regionkey, n_nationkey, c_custkey, 'c' || lpad(c_custkey::VARCHAR, 9, '0') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+e AS (SELECT n_nationkey, min(name) FILTER (WHERE c_custkey % 40 = 0) AS stop FROM c GROUP BY 1)
+SELECT '/r' || r_regionkey AS path, 'dir' AS type, 1 AS level FROM region
+UNION ALL SELECT '/r' || n_regionkey || '/n' || n_nationkey, 'dir', 2 FROM nation WHERE n_regionkey <> 2
+UNION ALL SELECT '/r' || n_regionkey || '/n' || n_nationkey || '/' || name, 'file', 3 FROM c JOIN e USING (n_nationkey) WHERE n_regionkey <> 2 AND n_nationkey % 4 <> 1 AND (stop IS NULL OR name <= stop)"""
+)
+def tree_visited_with_skips(spark, d):
+    """Regions, nations and customers as a tree; a region and some nations aren't entered, some customers end their nation."""
+    text = lambda c: F.col(c).cast("string")
+    r = A.table(spark, d, "region").select(F.lit("top").alias("parent"), F.concat(F.lit("r"), text("r_regionkey")).alias("name"), F.lit("dir").alias("type"))
+    n = A.table(spark, d, "nation").select(F.concat(F.lit("r"), text("n_regionkey")).alias("parent"), F.concat(F.lit("n"), text("n_nationkey")).alias("name"), F.lit("dir").alias("type"))
+    c = A.table(spark, d, "customer").select(F.concat(F.lit("n"), text("c_nationkey")).alias("parent"), F.concat(F.lit("c"), F.lpad(text("c_custkey"), 9, "0")).alias("name"), F.lit("file").alias("type"))
+    edges = r.union(n).union(c).withColumn("child", F.col("name"))
+    number = F.regexp_extract("name", "[0-9]+", 0).cast("long")
+    skip = (F.col("name") == "r2") | (F.col("name").startswith("n") & (number % 4 == 1)) | (F.col("name").startswith("c") & (number % 40 == 0))
+    out = trees.visit(edges, spark.range(1).select(F.lit("top").alias("root")), skip)
+    return out.filter("level > 0").select("path", "type", "level")
+
+
 @query(
     N + """, dirs AS (SELECT path, regexp_replace(rtrim(path, '/'), '/+', '/', 'g') AS c FROM (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM nodes)),
 changed AS (SELECT regexp_replace(rtrim(path, '/'), '/+', '/', 'g') AS x FROM (SELECT path FROM nodes WHERE inode % 23 = 0 UNION SELECT regexp_replace(path, '/[^/]*$', '') FROM nodes WHERE inode % 29 = 0))

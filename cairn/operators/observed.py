@@ -62,6 +62,53 @@ def reuse_decisions(listing: DataFrame, current: DataFrame, verified: Column) ->
     return a.join(b, "key", "full_outer").select(F.col("key").alias("path"), kind.alias("decision"))
 
 
+#: What a stat holds of a path.
+STAT = ("mtime", "ctime", "size", "mode", "uid", "gid")
+
+
+def capture(nodes: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, errors): what a crawl saw of each node, to be replayed later.
+
+    nodes: path, parent, content; stats: path and STAT, one row for a path. An observation holds the stats of the node
+    and of its parent; a node without either of them is an error (path) instead.
+    """
+    of = lambda path, name: stats.select(F.col("path").alias(path), F.struct(*STAT).alias(name))
+    seen = nodes.select("path", "parent", "content").join(of("path", "stat"), "path", "left").join(of("parent", "parent_stat"), "parent", "left")
+    whole = F.col("stat").isNotNull() & F.col("parent_stat").isNotNull()
+    return seen.filter(whole), seen.filter(~whole).select("path")
+
+
+def replay(observations: DataFrame, root: str, current: DataFrame, verified: Column) -> DataFrame:
+    """The reuse decisions that a crawl of the captured nodes would take: path, decision. Observations without the root,
+    or with an empty path or parent, are an error."""
+    named = (F.coalesce(F.col("path"), F.lit("")) != "") & (F.coalesce(F.col("parent"), F.lit("")) != "")
+    found = observations.agg(F.count_if(~named).alias("unnamed"), F.count_if((F.col("path") == root) | (F.col("parent") == root)).alias("roots")).first()
+    if found["unnamed"]:
+        raise ValueError(f"{found['unnamed']} observations without a path or parent")
+    if not found["roots"]:
+        raise ValueError(f"nothing captured of {root!r}")
+    return reuse_decisions(observations.select("path", "parent", "content", "stat.*"), current, verified)
+
+
+def observed_generations(observed: DataFrame, bindings: DataFrame) -> DataFrame:
+    """fsid, inode, generation, continuity, is_new of each observed inode (fsid, inode, revision).
+
+    An inode whose last binding is live goes on in its generation. After a proven deletion a new generation begins at
+    the observed revision, and its continuity is proven; after an unknown gap, or if the inode was never bound, one
+    begins whose continuity is unknown.
+    """
+    prior = bindings.groupBy("fsid", "inode").agg(F.max(F.struct("generation", "state", "continuity")).alias("p"))
+    joined = observed.join(prior, ["fsid", "inode"], "left")
+    live = F.coalesce(F.col("p.state") == "live", F.lit(False))
+    proven = F.coalesce(F.col("p.state") == "deleted", F.lit(False))
+    return joined.select(
+        "fsid", "inode",
+        F.when(live, F.col("p.generation")).otherwise(F.col("revision")).alias("generation"),
+        F.when(live, F.col("p.continuity")).when(proven, "proven").otherwise("unknown").alias("continuity"),
+        (~live).alias("is_new"),
+    )
+
+
 def reusable_subtrees(subtrees: DataFrame, changed: DataFrame) -> DataFrame:
     """The subtrees (path, and more) with no change at, above or below them. changed: path. Paths are cleaned first.
 

@@ -36,6 +36,33 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int = 64, prune: Column | No
         out = out.unionByName(level)
 
 
+def visit(edges: DataFrame, roots: DataFrame, skip: Column, depth: int = 64) -> DataFrame:
+    """(root, path, type, key, level) of the nodes that a visitor sees who may skip. edges: parent, name, type, child.
+
+    `skip` is asked of each node (root, path, name, type, key, level). A directory for which it holds is seen, but not
+    entered; a node of another type for which it holds is seen, and ends its directory: names after it are not. A level
+    is a join and a small aggregate, written before the next. What to do with each node is a DataFrame step after this.
+    """
+    level = roots.select("root", F.lit("").alias("path"), F.lit("dir").alias("type"), F.col("root").alias("key"), F.lit(0).alias("level"))
+    out, skipped, columns = level, F.coalesce(skip, F.lit(False)), ["root", "path", "type", "key", "level"]
+    for n in range(1, depth + 2):
+        parents = level.select("root", F.col("path").alias("_dir"), F.col("key").alias("parent"))
+        kids = cut(
+            parents.join(edges, "parent")
+            .select("root", "_dir", F.concat("_dir", F.lit("/"), "name").alias("path"), "name", "type", F.col("child").alias("key"), F.lit(n).alias("level"))
+            .withColumn("_skip", skipped)
+        )
+        ends = kids.filter(F.col("_skip") & (F.col("type") != "dir")).groupBy("root", "_dir").agg(F.min("name").alias("_end"))
+        seen = cut(kids.join(ends, ["root", "_dir"], "left").filter(F.col("_end").isNull() | (F.col("name") <= F.col("_end"))))
+        if seen.isEmpty():
+            return out
+        if n > depth:
+            break
+        out = out.unionByName(seen.select(*columns))
+        level = seen.filter((F.col("type") == "dir") & ~F.col("_skip")).select(*columns)
+    raise ValueError(f"tree deeper than {depth}")
+
+
 ATTRIBUTES = ["size", "content", "type", "mode"]
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import series
+from cairn.operators import observed, series, trees
 from cairn.plans import jobs
 from cairn.plans.query import Query, from_view, save_view
 from cairn.sources import layers
@@ -140,3 +140,31 @@ def test_views(spark, tmp_path):
     for other in (Query(uid=(1,), group_by=("svm",)), Query(uid=(1, 2), group_by=("year",))):
         with pytest.raises(ValueError, match="does not answer"):
             from_view(other, fine, view)
+
+
+def test_replay_needs_its_root(spark):
+    nodes = spark.createDataFrame([("/r/a", "/r", "x"), ("/r/b", "/r", "y"), ("/q/c", "/q", "z")], "path string, parent string, content string")
+    stat = ", ".join(f"{c} long" for c in observed.STAT)
+    stats = spark.createDataFrame([(p, *[k] * 6) for p, k in (("/r", 1), ("/r/a", 2), ("/r/b", 3), ("/q/c", 4))], f"path string, {stat}")
+    seen, errors = observed.capture(nodes, stats)
+    assert [r.path for r in errors.collect()] == ["/q/c"] and seen.count() == 2
+    known = nodes.join(stats, "path").withColumn("size", F.when(F.col("path") == "/r/b", 9).otherwise(F.col("size")))
+    got = {r.path: r.decision for r in observed.replay(seen, "/r", known, F.lit(True)).collect()}
+    assert got == {"/r/a": "reuse", "/r/b": "read", "/q/c": "gone"}
+    with pytest.raises(ValueError, match="nothing captured"):
+        observed.replay(seen, "/q", known, F.lit(True))
+    with pytest.raises(ValueError, match="without a path"):
+        observed.replay(seen.withColumn("parent", F.lit(None).cast("string")), "/r", known, F.lit(True))
+
+
+def test_visit(spark):
+    edges = [("t", "a", "dir", "A"), ("t", "b", "file", None), ("t", "c", "dir", "C"), ("A", "x", "file", None), ("A", "y", "file", None), ("A", "z", "dir", "Z"), ("Z", "deep", "file", None), ("C", "x", "file", None)]
+    df = spark.createDataFrame(edges, "parent string, name string, type string, child string")
+    roots = spark.createDataFrame([("t",)], "root string")
+    see = lambda skip: {r.path for r in trees.visit(df, roots, skip).collect()}
+    assert see(F.lit(False)) == {"", "/a", "/b", "/c", "/a/x", "/a/y", "/a/z", "/a/z/deep", "/c/x"}
+    assert see(F.col("name") == "a") == {"", "/a", "/b", "/c", "/c/x"}
+    assert see(F.col("name") == "b") == {"", "/a", "/b", "/a/x", "/a/y", "/a/z", "/a/z/deep"}
+    assert see(F.col("path") == "/a/x") == {"", "/a", "/b", "/c", "/a/x", "/c/x"}
+    with pytest.raises(ValueError, match="deeper than 2"):
+        trees.visit(df, roots, F.lit(None).cast("boolean"), 2)
