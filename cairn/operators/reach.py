@@ -9,17 +9,25 @@ from pyspark.sql.window import Window
 from cairn.plans.cuts import cut
 
 
+#: Rounds of a walk whose new keys are kept apart before they are written as one table.
+ROUNDS = 8
+
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every key reachable from the roots, each visited once. edges: parent, child; roots: key. Cycles and shared
-    children are fine: a round joins only what is new."""
-    seen = cut(roots.select("key").distinct())
-    frontier = seen
+    children are fine: a round joins only what is new, and writes only that. The edges are written once, before."""
+    edges = cut(edges.select("parent", "child"))
+    frontier = seen = cut(roots.select("key").distinct())
+    n = 0
     while True:
         step = frontier.join(edges, F.col("key") == F.col("parent")).select(F.col("child").alias("key")).distinct()
         frontier = cut(step.join(seen, "key", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        n += 1
+        seen = seen.unionByName(frontier)
+        if n % ROUNDS == 0:
+            seen = cut(seen)
 
 
 def unreferenced(blobs: DataFrame, references: DataFrame) -> DataFrame:
