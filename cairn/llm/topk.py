@@ -15,8 +15,10 @@ from cairn.llm.common import cut
 
 #: Vectors of a cell, about; cells at most (their centres are a sample of that size); entries of a leaf.
 CELL, CELLS, LEAF = 512, 1024, 64
-#: Vectors of a page, and pages there should be at most before pages grow.
-PAGE, PAGES = 1024, 4096
+#: Vectors of a page, about: at least, and at most; in between there are PAGES pages.
+PAGE, PAGE_MOST, PAGES = 1024, 16_384, 4096
+#: Queries that one task asks of a page, about; a page that more queries reach is searched by several tasks.
+ASKED = 4096
 FACTOR = 1024
 
 
@@ -102,7 +104,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     The tree's root has up to CELLS cells around sampled centres, with covering radii; cells are cut into pages by a
     hash of the id, so that one very common vector fills many pages; a page holds leaves of about LEAF entries. Every
     query first searches one page of its most promising cell, which gives a least score to reach; then only cells
-    whose bound reaches it are searched, best leaf first. Each page is one task with the queries that reach it.
+    whose bound reaches it are searched, best leaf first. A task searches one page for about ASKED of the queries that
+    reach it.
 
     Vectors that are null or hold null or non-finite components take no part, nor do null ids. Shorter vectors count
     as if filled up with zeros. Of repeated query ids one (the least vector) is asked; repeated candidate rows each
@@ -128,7 +131,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pdf.assign(cell=cell, distance=distance)
 
     placed = cut(x.mapInPandas(assign, "vec_id long, v array<long>, cell int, distance double"))
-    size = max(PAGE, -(-n // PAGES))
+    size = min(PAGE_MOST, max(PAGE, -(-n // PAGES)))
     found = placed.groupBy("cell").agg(F.max("distance").alias("radius"), F.ceil(F.count("*") / size).cast("int").alias("pages")).collect()
     radius, pages = np.full(len(centres), -np.inf), np.zeros(len(centres), dtype=int)
     for r in found:  # CELLS rows at most
@@ -164,8 +167,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     def searched(visits: DataFrame) -> DataFrame:
-        keys = ("cell", "page")
-        pair = members.select("vec_id", "v", *keys).groupBy(*keys).cogroup(visits.groupBy(*keys))
+        # pages that no query reaches are left out; one that very many reach is copied for each ASKED of them
+        at = ["cell", "page"]
+        load = visits.groupBy(*at).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+        own = members.join(load, at).select("vec_id", "v", *at, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        ask = visits.join(load, at).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+        keys = (*at, "part")
+        pair = own.groupBy(*keys).cogroup(ask.groupBy(*keys))
         return pair.applyInPandas(search, "query_id long, vec_id long, score long")
 
     visit = "vec_id long, v array<long>, cell int, page int, least double"

@@ -128,7 +128,10 @@ def test_decontamination(spark, monkeypatch, round_words, part):
     assert decontam.find_leaks(docs, benchmark.filter("false")).count() == 0
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("asked", "page"), [(topk.ASKED, topk.PAGE_MOST), (3, 200)])
+def test_top_k(spark, monkeypatch, asked, page):
+    monkeypatch.setattr(topk, "ASKED", asked)
+    monkeypatch.setattr(topk, "PAGE_MOST", page)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8))
     vectors = [(i, (centres[i % 6] + rng.normal(size=8) * 0.1).tolist()) for i in range(1500)]
