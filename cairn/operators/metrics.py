@@ -25,16 +25,31 @@ def counter_deltas(samples: DataFrame) -> DataFrame:
 
 
 def window_baseline(samples: DataFrame, seconds: int) -> DataFrame:
-    """Rate over a sliding window: against the last sample at or before its start, else the first inside (warming)."""
+    """Rate over a sliding window: against the last sample at or before its start, else the first inside (warming).
+
+    Time is cut into spans as long as the window, so a window starts in the span before its sample's. Each span of a
+    series is sorted apart: its samples, those of the span before moved on by the window's length, and one row that
+    carries the last sample of all earlier spans and the first of the series. Samples without a time know each other only.
+    """
     t = F.unix_timestamp("ts")
-    s = samples.withColumn("t", t)
-    order = Window.partitionBy("series").orderBy("t")
-    inside = order.rangeBetween(-seconds, 0)
-    older = order.rangeBetween(Window.unboundedPreceding, -seconds)
-    pick = lambda f, w: f(F.struct("t", "seq", "value")).over(w)
-    base = F.coalesce(pick(F.max, older), pick(F.min, inside))
-    state = F.when(pick(F.max, older).isNull(), "warming").when(base["value"] > F.col("value"), "reset").otherwise("ready")
-    return s.select("series", "seq", state.alias("state"), (F.col("value") - base["value"]).alias("change"), (F.col("t") - base["t"]).alias("seconds"))
+    point, span = F.struct("t", "seq", "value"), F.col("t") - F.pmod("t", F.lit(seconds))
+    s = samples.select("series", "seq", "value", t.alias("t")).withColumn("span", span)
+    spans = s.filter("span IS NOT NULL").groupBy("series", "span").agg(F.max(point).alias("last"), F.min(point).alias("first"))
+    order = Window.partitionBy("series").orderBy("span")
+    none = F.lit(None).cast(spans.schema["last"].dataType)
+    carried = spans.select(
+        "series", "span", F.col("span").alias("at"), F.max("last").over(order.rangeBetween(Window.unboundedPreceding, -2 * seconds)).alias("older"),
+        F.min("first").over(Window.partitionBy("series")).alias("oldest"), none.alias("sample"),
+    )
+    moved = s.select("series", F.col("span") + seconds, F.col("t") + seconds, point, none, none)
+    asking = s.select("series", "span", "t", none, none, point)
+    within = Window.partitionBy("series", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = carried.union(moved).union(asking).select("series", "sample", F.max("older").over(within).alias("older"), F.max("oldest").over(within).alias("oldest"))
+    now, base = F.col("sample"), F.coalesce("older", "oldest")
+    state = F.when(F.col("older").isNull(), "warming").when(base["value"] > now["value"], "reset").otherwise("ready")
+    return rows.filter(now.isNotNull()).select(
+        "series", now["seq"].alias("seq"), state.alias("state"), (now["value"] - base["value"]).alias("change"), (now["t"] - base["t"]).alias("seconds")
+    )
 
 
 def slots(events: DataFrame, slot: str) -> DataFrame:
