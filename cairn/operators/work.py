@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from cairn.plans.cuts import cut
+
 
 def due(requests: DataFrame, limits: DataFrame, now: datetime) -> DataFrame:
     """The requests with `decision`: 'attempt', 'deferred' (before its time), or 'limited'.
@@ -52,7 +54,7 @@ def placement_plan(packs: DataFrame, placements: DataFrame, backends: DataFrame,
     """pack_id, missing_copies, missing_domains, missing_offsite, excess, next_backend, deadline of unsatisfied packs.
 
     Read caches count for nothing. The next backend is the smallest that adds what is missing first: an off-site copy,
-    then a new failure domain, then any copy. `excess` counts live copies beyond the wanted ones where nothing is
+    then a new failure domain, then any copy; a pack looks at as many candidates as it has copies, and one. `excess` counts live copies beyond the wanted ones where nothing is
     missing. The deadline is the pack's creation plus the grace time. packs: pack_id, created_at; backends (few rows):
     backend, role, offsite, failure_domain.
     """
@@ -62,6 +64,7 @@ def placement_plan(packs: DataFrame, placements: DataFrame, backends: DataFrame,
     have = live.groupBy("pack_id").agg(
         F.count("*").alias("c"), F.count_if("offsite").alias("o"), F.collect_set("failure_domain").alias("d"), F.collect_set("backend").alias("b")
     )  # sets no larger than the list of backends
+    have = cut(have)  # read twice
     at = packs.select("pack_id", "created_at").join(have, "pack_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     short = lambda want, c: F.greatest(F.lit(0).cast("long"), F.lit(want).cast("long") - n(c))
@@ -69,15 +72,23 @@ def placement_plan(packs: DataFrame, placements: DataFrame, backends: DataFrame,
         "pack_id", "created_at", F.coalesce("b", F.array().cast("array<long>")).alias("b"), F.coalesce("d", F.array().cast("array<long>")).alias("d"), n(F.col("c")).alias("c"),
         short(copies, F.col("c")).alias("missing_copies"), short(domains, F.size("d")).alias("missing_domains"), short(offsite, F.col("o")).alias("missing_offsite"),
     )
-    every = lasting.agg(F.array_sort(F.collect_list(F.struct("backend", "offsite", "failure_domain"))).alias("all"))
-    at = at.join(F.broadcast(every))  # one row
-    free = F.filter("all", lambda x: ~F.array_contains("b", x["backend"]))
-    off = F.filter(free, lambda x: x["offsite"])
-    new = F.filter(free, lambda x: ~F.array_contains("d", x["failure_domain"]))
-    first = lambda xs: F.get(xs, 0)["backend"]
+    # of k sorted backends (or domains) a pack that has fewer lacks one: no pack has to look at more
+    most = (have.agg(F.max(F.greatest(F.size("b"), F.size("d")))).first()[0] or 0) + 1
+    known = lasting.filter("backend IS NOT NULL")
+    by_domain = known.filter("failure_domain IS NOT NULL").groupBy("failure_domain")
+    firsts = [
+        ("any", known.select("backend").distinct(), "backend"),
+        ("off", known.filter("offsite").select("backend").distinct(), "backend"),
+        ("new", by_domain.agg(F.min("backend").alias("backend")), "failure_domain"),
+        ("both", by_domain.agg(F.min(F.when(F.col("offsite"), F.col("backend"))).alias("backend")).filter("backend IS NOT NULL"), "failure_domain"),
+    ]
+    for name, rows, by in firsts:
+        listed = rows.select("backend", F.col(by).cast("long").alias("is")).orderBy("backend", "is").limit(most)
+        at = at.join(F.broadcast(listed.agg(F.array_sort(F.collect_list(F.struct("backend", "is"))).alias(name))))  # one row
+    free = lambda name, taken: F.get(F.filter(F.slice(name, 1, F.size(taken) + 1), lambda x: ~F.array_contains(taken, x["is"])), 0)["backend"]
     wanting = F.col("missing_copies") + F.col("missing_domains") + F.col("missing_offsite")
-    pick = F.when(F.col("missing_offsite") > 0, F.coalesce(first(F.filter(off, lambda x: ~F.array_contains("d", x["failure_domain"]))), first(off)))
-    pick = F.coalesce(pick, F.when(F.col("missing_domains") > 0, first(new)), F.when(wanting > 0, first(free)))
+    pick = F.when(F.col("missing_offsite") > 0, F.coalesce(free("both", "d"), free("off", "b")))
+    pick = F.coalesce(pick, F.when(F.col("missing_domains") > 0, free("new", "d")), F.when(wanting > 0, free("any", "b")))
     excess = F.when(wanting == 0, F.greatest(F.lit(0).cast("long"), F.col("c") - F.greatest(F.lit(copies), F.lit(domains)))).otherwise(0).cast("long")
     out = at.select("pack_id", "missing_copies", "missing_domains", "missing_offsite", excess.alias("excess"), pick.alias("next_backend"), (F.col("created_at") + F.expr(f"INTERVAL {grace_hours} HOURS")).alias("deadline"))
     return out.filter("missing_copies + missing_domains + missing_offsite + excess > 0")

@@ -51,3 +51,16 @@ def test_window_rates_look_at_no_window_sample_by_sample(spark, folder):
     assert {r[2] for r in expected} == {"warming", "ready", "reset"}
     # a frame that begins and ends near its row is read anew for each row
     assert "-86400, currentrow" not in plan_of(registry.QUERIES["sliding_window_rates"](spark, folder)).replace("$()", "").lower()
+
+
+def test_placement_plan_lists_no_more_backends_than_packs_have_copies(spark, folder):
+    rng, day = random.Random(5), datetime.datetime(1996, 1, 1)
+    spark.createDataFrame([(s, rng.randint(0, 4)) for s in range(1, 41)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    lines = [(k, n, rng.choice([rng.randint(1, 6), rng.randint(1, 40)]), 1.0, 10.0 * n, rng.choice("NAR"), rng.choice("OOOF"), day) for k in range(1, 400) for n in range(1, rng.randint(2, 9))]
+    lines += [(1000, s, s, 1.0, 5.0, "N", "O", day) for s in range(1, 20)]
+    schema = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, schema).write.parquet(f"{folder}/lineitem.parquet")
+    expected = same_rows(spark, folder, "placement_plan_with_deadlines", "lineitem", "supplier")
+    assert len({r[5] for r in expected}) > 4 and any(r[4] > 10 for r in expected)
+    # the lists of backends that each pack looks through end before the list of all
+    assert plan_of(registry.QUERIES["placement_plan_with_deadlines"](spark, folder)).count("TakeOrderedAndProject") == 4
