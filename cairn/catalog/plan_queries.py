@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from cairn import adapters as A
 from cairn.catalog.fact_queries import REFS, WITH, facts, references
 from cairn.catalog.pack_queries import RATIO
-from cairn.catalog.tree_queries import ALL_AP, ALL_EDGES, accounts, all_edges
+from cairn.catalog.tree_queries import ALL_AP, ALL_EDGES, accounts, edge_rows
 from cairn.operators import facts as fact_ops
 from cairn.operators import observed, packs, reach, reports, snapshots, trees, work
 from cairn.registry import query
@@ -120,7 +120,7 @@ r(key) AS (SELECT tree AS key FROM t WHERE id % 100 <> 0 UNION SELECT child FROM
 )
 def reachable_from_retained_snapshots(spark, d):
     s = A.table(spark, d, "supplier").filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("tree"))
-    return reach.retained(all_edges(spark, d), s, s.filter("id % 100 = 0").select("id"))
+    return reach.retained(edge_rows(spark, d), s, s.filter("id % 100 = 0").select("id"))
 
 
 #: Parts as a binary tree: part n lies below part n / 2.

@@ -315,15 +315,20 @@ def commit_range(spark, d):
 ALL_EDGES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS parent, 'p' || l_partkey AS child FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
 
 
-def all_edges(spark, d):
+def edge_rows(spark, d):
+    """The edges, some of them more than once."""
     l = A.table(spark, d, "lineitem")  # noqa: E741
     s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    return l.select(s.alias("parent"), p.alias("child")).union(l.select(p, s)).distinct()
+    return l.select(s.alias("parent"), p.alias("child")).union(l.select(p, s))
+
+
+def all_edges(spark, d):
+    return edge_rows(spark, d).distinct()
 
 
 @query(A.with_sql(ALL_EDGES) + ", r(key) AS (SELECT 's10' AS key UNION SELECT child FROM r JOIN edges ON parent = key) SELECT key FROM r")
 def reachable_from_roots(spark, d):
-    return reach.closure(all_edges(spark, d), spark.createDataFrame([("s10",)], "key string"))
+    return reach.closure(edge_rows(spark, d), spark.createDataFrame([("s10",)], "key string"))
 
 
 @query(A.with_sql(ALL_EDGES) + ", t AS (SELECT parent AS key FROM edges UNION SELECT 's' || s_suppkey FROM supplier) SELECT key FROM t WHERE key NOT IN (SELECT child FROM edges)")
@@ -335,7 +340,7 @@ def orphan_tree_roots(spark, d):
 
 @query(A.with_sql(ALL_EDGES) + ", r(key) AS (SELECT 's10' AS key UNION SELECT child FROM r JOIN edges ON parent = key) SELECT key FROM r")
 def reachable_from_roots_all_edges(spark, d):
-    return reach.closure(all_edges(spark, d), spark.createDataFrame([("s10",)], "key string"))
+    return reach.closure(edge_rows(spark, d), spark.createDataFrame([("s10",)], "key string"))
 
 
 @query(A.with_sql(ALL_EDGES) + ", t AS (SELECT parent AS key FROM edges UNION SELECT 's' || s_suppkey FROM supplier) SELECT key FROM t WHERE key NOT IN (SELECT child FROM edges)")

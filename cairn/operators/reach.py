@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.plans.cuts import cut
+from cairn.plans.cuts import cut, sided, written
 
 
 #: Rounds of a walk whose new keys are kept apart before they are written as one table.
@@ -14,20 +14,23 @@ ROUNDS = 8
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every key reachable from the roots, each visited once. edges: parent, child; roots: key. Cycles and shared
-    children are fine: a round joins only what is new, and writes only that. The edges are written once, before."""
-    edges = cut(edges.select("parent", "child"))
-    frontier = seen = cut(roots.select("key").distinct())
+    """Every key reachable from the roots, each visited once. edges: parent, child; roots: key. Cycles, shared children
+    and repeated edges are fine: a round joins only what is new, and writes only that. The edges are written once,
+    before; they stay where they are while a round has few new keys."""
+    edges = written(edges.select("parent", "child"))
+    frontier = seen = written(roots.select("key").distinct())
+    new = total = frontier.count()
     n = 0
     while True:
-        step = frontier.join(edges, F.col("key") == F.col("parent")).select(F.col("child").alias("key")).distinct()
-        frontier = cut(step.join(seen, "key", "left_anti"))
-        if frontier.isEmpty():
+        step = edges.join(sided(frontier, new), F.col("key") == F.col("parent")).select(F.col("child").alias("key")).distinct()
+        frontier = written(step.join(sided(seen, total), "key", "left_anti"))
+        new = frontier.count()
+        if not new:
             return seen
-        n += 1
+        n, total = n + 1, total + new
         seen = seen.unionByName(frontier)
         if n % ROUNDS == 0:
-            seen = cut(seen)
+            seen = written(seen)
 
 
 def unreferenced(blobs: DataFrame, references: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 (registers the queries)
 from cairn import registry
+from cairn.operators import reach, trees
+from cairn.plans import cuts
 
 
 def sql_rows(d, name, *tables):
@@ -64,3 +67,37 @@ def test_placement_plan_lists_no_more_backends_than_packs_have_copies(spark, fol
     assert len({r[5] for r in expected}) > 4 and any(r[4] > 10 for r in expected)
     # the lists of backends that each pack looks through end before the list of all
     assert plan_of(registry.QUERIES["placement_plan_with_deadlines"](spark, folder)).count("TakeOrderedAndProject") == 4
+
+
+def counted(spark, df):
+    """The rows of df, and a counter of how often one of them was computed."""
+    n = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            n.add(len(b))
+            yield b
+
+    return df.mapInPandas(count, df.schema), n
+
+
+#: A tree of 200 nodes in which node k lies below k / 2, with a cycle and a repeated edge for walks that allow them.
+EDGES = [(k // 2, f"n{k}", k) for k in range(2, 201)]
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_closure_computes_its_edges_once(spark, monkeypatch, few):
+    monkeypatch.setattr(cuts, "FEW_ROWS", few)
+    edges, n = counted(spark, spark.createDataFrame([*EDGES, (200, "back", 1), (2, "n4", 4), (300, "n301", 301)], "parent long, name string, child long"))
+    assert sorted(r.key for r in reach.closure(edges, spark.createDataFrame([(1,), (1,)], "key long")).collect()) == list(range(1, 201))
+    assert n.value == len(EDGES) + 3
+
+
+@pytest.mark.parametrize("name", ["reachable_from_roots", "reachable_from_roots_all_edges"])
+def test_reachability_does_not_sort_all_edges(spark, folder, monkeypatch, name):
+    spark.createDataFrame([(7, 10), (7, 10), (7, 11), (8, 12)], "l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    given = []
+    closure = reach.closure
+    monkeypatch.setattr(reach, "closure", lambda edges, roots: given.append(edges) or closure(edges, roots))
+    same_rows(spark, folder, name, "lineitem")
+    assert "Exchange" not in plan_of(given[0])
