@@ -13,23 +13,25 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from cairn.functions import globs, numbers, paths
-from cairn.plans.cuts import cut
+from cairn.plans.cuts import cut, sided, written
 
 
 def walk(edges: DataFrame, roots: DataFrame, depth: int = 64, prune: Column | None = None) -> DataFrame:
-    """(root, path, key, level) of everything below the roots. edges: parent, name, child. A level is one join, written
-    before the next; deeper levels than `depth` are an error. Nodes for which `prune` holds (over root, path, key, level)
-    are given, but not what is below them. Trees must not have cycles."""
+    """(root, path, key, level) of everything below the roots. edges: parent, name, child; written once, before. A level
+    is one join, written before the next; deeper levels than `depth` are an error. Nodes for which `prune` holds (over
+    root, path, key, level) are given, but not what is below them. Trees must not have cycles."""
+    edges = written(edges.select("parent", "name", "child"))
     level = roots.select("root", F.lit("").alias("path"), F.col("root").alias("key"), F.lit(0).alias("level"))
-    out, n = level, 0
+    out, n, rows = level, 0, level.count()
     while True:
         n += 1
         open_nodes = level if prune is None else level.filter(~F.coalesce(prune, F.lit(False)))
-        level = cut(
-            open_nodes.join(edges, F.col("key") == F.col("parent"))
+        level = written(
+            edges.join(sided(open_nodes, rows), F.col("key") == F.col("parent"))
             .select("root", F.concat("path", F.lit("/"), "name").alias("path"), F.col("child").alias("key"), F.lit(n).alias("level"))
         )
-        if level.isEmpty():
+        rows = level.count()
+        if not rows:
             return out
         if n > depth:
             raise ValueError(f"tree deeper than {depth}")

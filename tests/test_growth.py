@@ -93,6 +93,20 @@ def test_closure_computes_its_edges_once(spark, monkeypatch, few):
     assert n.value == len(EDGES) + 3
 
 
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_walk_computes_its_edges_once(spark, monkeypatch, few):
+    monkeypatch.setattr(cuts, "FEW_ROWS", few)
+    edges, n = counted(spark, spark.createDataFrame(EDGES, "parent long, name string, child long"))
+    got = trees.walk(edges, spark.createDataFrame([(1,)], "root long"), prune=F.col("key") % 7 == 3).collect()
+    expected, todo = [], [("", 1, 0)]
+    while todo:
+        path, key, level = todo.pop()
+        expected.append((path, key, level))
+        todo += [(f"{path}/{name}", child, level + 1) for parent, name, child in EDGES if parent == key and key % 7 != 3]
+    assert sorted((r.path, r.key, r.level) for r in got) == sorted(expected)
+    assert n.value == len(EDGES)
+
+
 @pytest.mark.parametrize("name", ["reachable_from_roots", "reachable_from_roots_all_edges"])
 def test_reachability_does_not_sort_all_edges(spark, folder, monkeypatch, name):
     spark.createDataFrame([(7, 10), (7, 10), (7, 11), (8, 12)], "l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
