@@ -215,7 +215,7 @@ def retained(edges: DataFrame, snapshots: DataFrame, ignored: DataFrame) -> Data
 def identities(edges: DataFrame, nodes: DataFrame, root: DataFrame, oldest: bool = False) -> DataFrame:
     """Distinct (fsid, inode, revision) of the nodes under a root; with `oldest`, of each inode the oldest revision known.
     nodes: key, fsid, inode, revision; root: key."""
-    found = nodes.join(closure(edges, root), "key", "left_semi").select("fsid", "inode", "revision").distinct()
+    found = nodes.join(closure(edges, root).hint("merge"), "key", "left_semi").select("fsid", "inode", "revision").distinct()
     if not oldest:
         return found
     first = nodes.groupBy("fsid", "inode").agg(F.min("revision").alias("revision"))

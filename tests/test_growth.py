@@ -107,6 +107,17 @@ def test_walk_computes_its_edges_once(spark, monkeypatch, few):
     assert n.value == len(EDGES)
 
 
+def test_identities_below_a_root_send_no_edges_to_the_driver(spark):
+    edges = spark.createDataFrame(EDGES, "parent long, name string, child long")
+    nodes = spark.createDataFrame([(k, k % 3, k % 40, k % 50) for k in range(1, 201)], "key long, fsid int, inode long, revision long")
+    found = reach.identities(edges, nodes, spark.createDataFrame([(5,)], "key long"))
+    under = {5}
+    for parent, _, child in EDGES:
+        under |= {child} if parent in under else set()
+    assert sorted(map(tuple, found.collect())) == sorted({(k % 3, k % 40, k % 50) for k in under})
+    assert "Broadcast" not in plan_of(found)
+
+
 @pytest.mark.parametrize("name", ["reachable_from_roots", "reachable_from_roots_all_edges"])
 def test_reachability_does_not_sort_all_edges(spark, folder, monkeypatch, name):
     spark.createDataFrame([(7, 10), (7, 10), (7, 11), (8, 12)], "l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
