@@ -68,14 +68,27 @@ def audit_inodes(facts: DataFrame, uid: int) -> DataFrame:
     return facts.filter(F.col("uid") == uid).select("fsid", "inode", "residency", "logical_size")
 
 
+#: References that one task sorts, about.
+TASK_ROWS = 1_000_000
+
+
 def other_references(references: DataFrame, uid: int, limit: int) -> DataFrame:
-    """For the owner's blobs, how many references others hold and the first inodes that hold them."""
-    own = references.filter(F.col("uid") == uid).select("blob_id").distinct()
-    others = references.join(own, "blob_id", "left_semi").filter((F.col("uid") != uid) | F.col("uid").isNull())
-    ranked = others.select("blob_id", "inode").distinct().withColumn("n", F.row_number().over(Window.partitionBy("blob_id").orderBy("inode")))
-    counts = ranked.groupBy("blob_id").agg(F.count("*").cast("long").alias("sources"))
-    first = ranked.filter(F.col("n") <= limit).groupBy("blob_id").agg(F.array_sort(F.collect_list("inode")).alias("first_sources"))
-    return counts.join(first, "blob_id")
+    """For the owner's blobs, how many references others hold and the first inodes that hold them.
+
+    The references are dealt by blob to as many tasks as their number asks for and read in order, the owner's first; of
+    each blob only the first inodes and the last rank are kept, so a task holds a part of bounded size and no table.
+    """
+    other = F.coalesce(F.col("uid") != uid, F.lit(True)).alias("other")
+    rows = references.filter("blob_id IS NOT NULL").select("blob_id", "inode", other)
+    dealt = rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), "blob_id")
+    inode = F.asc_nulls_last("inode")
+    blob = Window.partitionBy("blob_id").orderBy("other", inode)
+    ranked = dealt.select(
+        "blob_id", "inode", "other", F.dense_rank().over(Window.partitionBy("blob_id", "other").orderBy(inode)).alias("n"),
+        F.min("other").over(blob.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("foreign"), F.lead("other").over(blob).isNull().alias("last"),
+    )
+    kept = ranked.filter(F.col("other") & ~F.col("foreign") & ((F.col("n") <= limit) | F.col("last")))
+    return kept.groupBy("blob_id").agg(F.max("n").cast("long").alias("sources"), F.array_sort(F.collect_set(F.when(F.col("n") <= limit, F.col("inode")))).alias("first_sources"))
 
 
 def audit_locations(references: DataFrame, packs: DataFrame, placements: DataFrame, backends: DataFrame, uid: int) -> DataFrame:

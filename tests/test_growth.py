@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 (registers the queries)
 from cairn import registry
-from cairn.operators import reach, trees
+from cairn.operators import reach, reports, trees
 from cairn.plans import cuts
 
 
@@ -126,3 +126,24 @@ def test_reachability_does_not_sort_all_edges(spark, folder, monkeypatch, name):
     monkeypatch.setattr(reach, "closure", lambda edges, roots: given.append(edges) or closure(edges, roots))
     same_rows(spark, folder, name, "lineitem")
     assert "Exchange" not in plan_of(given[0])
+
+
+def test_shared_references_are_dealt_to_tasks_by_their_number(spark, folder, monkeypatch):
+    monkeypatch.setattr(reports, "TASK_ROWS", 100, raising=False)
+    rng = random.Random(8)
+    lines = [(rng.choice([None, *range(1, 30)]), rng.randint(1, 5), rng.choice([None, *range(1, 60)]), rng.choice([None, 7, 27, *range(1, 40)])) for _ in range(950)]
+    lines += [(1, 1, 100, 7), (2, 1, 101, 7), (2, 2, 101, 8), (3, 1, 102, 9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    # the SQL's `uid <> 7` passes over references without a user; the operator counts them as another's
+    columns, _ = sql_rows(folder, "shared_references_of_others", "lineitem")
+    got = {r.blob_id: (r.sources, r.first_sources) for r in registry.QUERIES["shared_references_of_others"](spark, folder).select(*columns).collect()}
+    own = {b for _, _, b, s in lines if s is not None and s % 20 == 7}
+    expected = {}
+    for order, _, blob, s in lines:
+        if blob in own and blob is not None and (s is None or s % 20 != 7):
+            expected.setdefault(blob, set()).add(order)
+    first = lambda orders: ",".join(map(str, sorted(o for o in orders if o is not None)[:3]))
+    assert got == {b: (len(orders), first(orders)) for b, orders in expected.items()}
+    assert "hashpartitioning(blob_id" in plan_of(registry.QUERIES["shared_references_of_others"](spark, folder))
+    n = -(-sum(b is not None for _, _, b, _ in lines) // 100)
+    assert f", {n}), REPARTITION_BY_NUM" in plan_of(registry.QUERIES["shared_references_of_others"](spark, folder))
