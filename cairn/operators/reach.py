@@ -226,20 +226,25 @@ def import_trees(edges: DataFrame, trees: DataFrame, roots: DataFrame, depth: in
     """(root, path, key, level) of what can be read below the roots, and debts (root, path, key, reason) instead of
     failures: 'unreadable' trees that are not there, 'cycle' where a tree lies below itself, 'too deep' beyond `depth`.
 
-    edges: parent, name, child; trees: key of each readable tree; roots: root. One join a level, written before the next.
+    edges: parent, name, child; trees: key of each readable tree; roots: root. One join a level, written before the next;
+    the edges are written once, with what is readable.
     """
     readable = trees.select("key", F.lit(True).alias("_r")).distinct()
+    known = readable.select(F.col("key").alias("child"), "_r")
+    edges = written(edges.select("parent", "name", "child").join(known, "child", "left"))
     level = roots.select("root", F.lit("").alias("path"), F.col("root").alias("key"), F.lit(0).alias("level"), F.array().cast(f"array<{roots.schema['root'].dataType.simpleString()}>").alias("above"))
+    level = level.join(readable, "key", "left")
     good, bad, n = None, None, 0
     while True:
         reason = F.when(F.array_contains("above", F.col("key")), "cycle").when(F.col("_r").isNull(), "unreadable").when(F.lit(n > depth), "too deep")
-        level = cut(level.join(readable, "key", "left").withColumn("reason", reason))
+        level = written(level.withColumn("reason", reason))
         fine = level.filter("reason IS NULL")
         a, b = fine.select("root", "path", "key", "level"), level.filter("reason IS NOT NULL").select("root", "path", "key", "reason")
         good, bad = (a, b) if good is None else (good.unionByName(a), bad.unionByName(b))
-        if n > depth or fine.isEmpty():
+        rows = fine.count()
+        if n > depth or not rows:
             return good, bad
         n += 1
-        level = fine.join(edges, F.col("key") == F.col("parent")).select(
-            "root", F.concat("path", F.lit("/"), "name").alias("path"), F.col("child").alias("key"), F.lit(n).alias("level"), F.array_append("above", F.col("parent")).alias("above")
+        level = edges.join(sided(fine.drop("_r"), rows), F.col("key") == F.col("parent")).select(
+            "root", F.concat("path", F.lit("/"), "name").alias("path"), F.col("child").alias("key"), F.lit(n).alias("level"), F.array_append("above", F.col("parent")).alias("above"), "_r"
         )

@@ -45,12 +45,14 @@ def visit(edges: DataFrame, roots: DataFrame, skip: Column, depth: int = 64) ->
     entered; a node of another type for which it holds is seen, and ends its directory: names after it are not. A level
     is a join and a small aggregate, written before the next. What to do with each node is a DataFrame step after this.
     """
+    edges = written(edges.select("parent", "name", "type", "child"))
     level = roots.select("root", F.lit("").alias("path"), F.lit("dir").alias("type"), F.col("root").alias("key"), F.lit(0).alias("level"))
     out, skipped, columns = level, F.coalesce(skip, F.lit(False)), ["root", "path", "type", "key", "level"]
     for n in range(1, depth + 2):
+        rows = level.count()
         parents = level.select("root", F.col("path").alias("_dir"), F.col("key").alias("parent"))
-        kids = cut(
-            parents.join(edges, "parent")
+        kids = written(
+            edges.join(sided(parents, rows), "parent")
             .select("root", "_dir", F.concat("_dir", F.lit("/"), "name").alias("path"), "name", "type", F.col("child").alias("key"), F.lit(n).alias("level"))
             .withColumn("_skip", skipped)
         )
