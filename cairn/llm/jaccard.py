@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textkit as tk
-from cairn.llm.common import Scratch, components, cut, keyed, real_id, row_columns, whole_row
+from cairn.llm.common import Scratch, components, cut, keyed, real_id, row_columns, slim, whole_row
 
 #: Share of a set's least hashes looked at beyond what any partner may lack.
 SLACK = 0.12
@@ -129,10 +129,10 @@ def candidate_groups(sets: DataFrame, need: Column) -> DataFrame:
     heads = cut(filed.groupBy("t").agg(F.min("sid").alias("head"), F.max("sid").alias("other")).filter("head <> other").select("t", "head"))
     edges = filed.join(heads, "t").filter("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
     edges = cut(edges.distinct())
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    groups = components(nodes, edges)
-    members = cut(groups.groupBy("root").agg(F.count("*").alias("members")))
-    return cut(groups.join(members, "root").select(F.col("id").alias("sid"), "root", "members"))
+    groups = components(None, edges)
+    n = groups.count()
+    members = cut(slim(groups, n).groupBy("root").agg(F.count("*").alias("members")))
+    return cut(slim(groups, n).join(slim(members, n), "root").select(F.col("id").alias("sid"), "root", "members"))
 
 
 def similar_components(docs: DataFrame, k: int, num: int, den: int = 100, count_links: bool = True) -> DataFrame:
@@ -215,8 +215,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int, count_links: bool,
 
     results = cut(pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long, n long"))
     links, counts = results.filter("b IS NOT NULL").select("a", "b"), results.filter("b IS NULL")
-    linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    roots = components(linked, links)
+    roots = components(None, links)
     counted = counts.groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("others"))
     least = sets.select("sid", "s1", "s2", "copies", real_id().alias("doc_id")).join(roots.withColumnRenamed("id", "sid"), "sid", "left")
     least = cut(least.join(counted, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
@@ -238,7 +237,7 @@ def keep_one_each(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFram
     """
     found = similar_components(docs, k, num, den, count_links=False)
     least = F.struct(F.isnull("doc_id").alias("none"), "id", "h")
-    stay = found.filter("n_shingles > 0").groupBy("root").agg(F.min(least).alias("m")).select("m.id", "m.h")
-    stay = cut(stay.unionByName(found.filter("n_shingles = 0").select("id", "h").distinct()))
+    alone = F.when(F.col("n_shingles") == 0, F.struct("id", "h"))
+    stay = cut(found.groupBy("root", alone.alias("alone")).agg(F.min(least).alias("m")).select("m.id", "m.h"))
     kept = keyed(docs, whole_row(docs).alias("row")).join(stay, ["id", "h"], "left_semi")
     return kept.select(*row_columns(docs.columns))
